@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import spans
+from . import copies, overlap, spans
 
 
 def _records(spark: SparkSession, d: str) -> DataFrame:
@@ -20,8 +20,31 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return found.select(*spans.corpus_name(["train", "val"]), "cs", "ce")
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return copies.copies(table(spark, d, "train"), "line").select(F.col("keep").alias("keep_line"), F.col("id").alias("line"))
+
+
+def p2_collapsed(spark: SparkSession, d: str) -> DataFrame:
+    return copies.collapsed(table(spark, d, "train"), "line").select(F.col("keep").alias("line"), "copies")
+
+
+def _overlaps(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.overlaps(table(spark, d, "val_large"), "doc", table(spark, d, "train"), "line")
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return _overlaps(spark, d).select("doc", "line")
+
+
+def p4_report(spark: SparkSession, d: str) -> DataFrame:
+    """Records of val_large with an overlap, pairs and mean coverage, per split and source."""
+    best = _overlaps(spark, d).groupBy("doc").agg(F.count(F.lit(1)).alias("pairs"), F.max("coverage").alias("coverage"))
+    v = table(spark, d, "val_large").groupBy("doc").agg(F.min(F.struct("split", "source")).alias("s")).select("doc", "s.split", "s.source")
+    return v.join(best, "doc", "left").groupBy("split", "source").agg(F.count(F.lit(1)).alias("records"), F.count("pairs").alias("overlapping"), F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"), F.round(F.avg(F.coalesce("coverage", F.lit(0.0))), 6).alias("coverage"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p3_found": p3_found}
+    return {f.__name__: f for f in (p2_found, p2_collapsed, p3_found, p4_found, p4_report)}
 
 
 def oracle_sql() -> dict[str, str]:
