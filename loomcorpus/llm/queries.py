@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import copies, overlap, spans
+from . import copies, leaks, overlap, spans
 
 
 def _records(spark: SparkSession, d: str) -> DataFrame:
@@ -43,8 +43,21 @@ def p4_report(spark: SparkSession, d: str) -> DataFrame:
     return v.join(best, "doc", "left").groupBy("split", "source").agg(F.count(F.lit(1)).alias("records"), F.count("pairs").alias("overlapping"), F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"), F.round(F.avg(F.coalesce("coverage", F.lit(0.0))), 6).alias("coverage"))
 
 
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leaks(table(spark, d, "benchmark"), "item_id", table(spark, d, "documents"), "doc_id")
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return _leaks(spark, d).filter(F.col("longest_run") >= 80).select("item_id", "doc_id")
+
+
+def p7_leaked_items(spark: SparkSession, d: str) -> DataFrame:
+    """Per leaked item: documents with an exact or tolerant overlap, and the longest of each."""
+    return _leaks(spark, d).groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"), F.max("longest_run").alias("longest_run"), F.max("longest_overlap").alias("longest_overlap"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_collapsed, p3_found, p4_found, p4_report)}
+    return {f.__name__: f for f in (p2_found, p2_collapsed, p3_found, p4_found, p4_report, p7_found, p7_leaked_items)}
 
 
 def oracle_sql() -> dict[str, str]:
