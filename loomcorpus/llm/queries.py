@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import copies, leaks, overlap, spans
+from . import abuse, copies, leaks, overlap, spans
 
 
 def _records(spark: SparkSession, d: str) -> DataFrame:
@@ -56,8 +56,29 @@ def p7_leaked_items(spark: SparkSession, d: str) -> DataFrame:
     return _leaks(spark, d).groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"), F.max("longest_run").alias("longest_run"), F.max("longest_overlap").alias("longest_overlap"))
 
 
+#: Score from which a document counts as abusive.
+ABUSIVE = 0.5
+
+
+def p8_scores(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    model = abuse.trained(docs, table(spark, d, "labels"), table(spark, d, "abuse_terms"))
+    return abuse.scored(docs, "doc_id", model).select(F.col("id").alias("doc_id"), "score")
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return p8_scores(spark, d).filter(F.col("score") >= ABUSIVE).select("doc_id").distinct()
+
+
+def p8_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Documents, abusive ones and their rate per source; a null source is a source."""
+    sources = table(spark, d, "documents").select("doc_id", "source")
+    by = sources.join(p8_scores(spark, d), "doc_id").groupBy("source")
+    return by.agg(F.count(F.lit(1)).alias("documents"), F.sum((F.col("score") >= ABUSIVE).cast("long")).alias("abusive"), F.round(F.avg((F.col("score") >= ABUSIVE).cast("double")), 6).alias("rate"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_collapsed, p3_found, p4_found, p4_report, p7_found, p7_leaked_items)}
+    return {f.__name__: f for f in (p2_found, p2_collapsed, p3_found, p4_found, p4_report, p7_found, p7_leaked_items, p8_found, p8_scores, p8_rates)}
 
 
 def oracle_sql() -> dict[str, str]:
