@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import abuse, copies, leaks, overlap, spans
+from . import abuse, copies, cutting, filling, leaks, overlap, sampling, spans
 
 
 def _records(spark: SparkSession, d: str) -> DataFrame:
@@ -20,6 +20,12 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return found.select(*spans.corpus_name(["train", "val"]), "cs", "ce")
 
 
+def p1_sample(spark: SparkSession, d: str) -> DataFrame:
+    """About a tenth of val_large, equal texts together, stable over batches."""
+    chosen = sampling.sample(table(spark, d, "val_large").select("doc", "text", "batch"), "batch")
+    return chosen.select("doc", "batch", "epoch", "rate", "u")
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return copies.copies(table(spark, d, "train"), "line").select(F.col("keep").alias("keep_line"), F.col("id").alias("line"))
 
@@ -43,6 +49,24 @@ def p4_report(spark: SparkSession, d: str) -> DataFrame:
     return v.join(best, "doc", "left").groupBy("split", "source").agg(F.count(F.lit(1)).alias("records"), F.count("pairs").alias("overlapping"), F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"), F.round(F.avg(F.coalesce("coverage", F.lit(0.0))), 6).alias("coverage"))
 
 
+def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return cutting.cut(table(spark, d, "eval_chunks_v3"), table(spark, d, "val_large").select("doc", "text"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return p5_pieces(spark, d).select("doc", "chunk").distinct()
+
+
+def p6_containers(spark: SparkSession, d: str) -> DataFrame:
+    return filling.fill(table(spark, d, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def p6_fill(spark: SparkSession, d: str) -> DataFrame:
+    """Containers, tokens and fill per capacity."""
+    per = p6_containers(spark, d).groupBy("container", "capacity").agg(F.sum("tokens").alias("tokens"))
+    return per.groupBy("capacity").agg(F.count(F.lit(1)).alias("containers"), F.sum("tokens").alias("tokens"), F.round(F.sum("tokens") / F.sum("capacity"), 6).alias("fill"))
+
+
 def _leaks(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaks(table(spark, d, "benchmark"), "item_id", table(spark, d, "documents"), "doc_id")
 
@@ -78,7 +102,7 @@ def p8_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_collapsed, p3_found, p4_found, p4_report, p7_found, p7_leaked_items, p8_found, p8_scores, p8_rates)}
+    return {f.__name__: f for f in (p1_sample, p2_found, p2_collapsed, p3_found, p4_found, p4_report, p5_found, p5_pieces, p6_containers, p6_fill, p7_found, p7_leaked_items, p8_found, p8_scores, p8_rates)}
 
 
 def oracle_sql() -> dict[str, str]:
