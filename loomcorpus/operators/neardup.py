@@ -59,11 +59,13 @@ class Audit:
         names = F.broadcast(self.matches.sparkSession.createDataFrame([(x,) for _, x in BUCKETS], "bucket string"))
         return names.join(counts, "bucket", "left").select("bucket", F.coalesce("windows", F.lit(0)).alias("windows"))
 
-    def pairs(self) -> DataFrame:
-        """Every pair with a common window: doc, line, n, hits and covered characters, raw and without template windows."""
+    def _tagged(self) -> DataFrame:
+        """Evaluation windows that stand in training documents, with whether they are templates."""
         freq = self.doc_freq().withColumn("template", F.col("df") > self.rule.max_doc_freq).select("h", "w", "template")
-        tagged = self.val_windows.join(freq, ["h", "w"])
-        joined = tagged.join(self.matches, ["h", "w"])
+        return self.val_windows.join(freq, ["h", "w"])
+
+    def _scored(self, joined: DataFrame) -> DataFrame:
+        """Hits and merged cover of every pair, from its common windows: doc, line, n, s, e, h, w, template."""
         out = None
         for flag, name in (("true", "raw"), ("not template", "flt")):
             some = joined.filter(flag)
@@ -75,10 +77,31 @@ class Audit:
         cov = lambda c: F.when(F.col("n") > 0, F.col(c) / F.col("n")).otherwise(F.lit(1.0))
         return out.select("doc", "line", "n", "hits_raw", F.col("covered_raw").cast("bigint").alias("covered_raw"), *zero).withColumn("coverage_raw", cov("covered_raw")).withColumn("coverage_flt", cov("covered_flt"))
 
+    def pairs(self) -> DataFrame:
+        """Every pair with a common window: doc, line, n, hits and covered characters, raw and without template windows.
+
+        Pairs that share nothing but templates are listed too, so where boilerplate is common on both sides the
+        result itself is large; ``flagged`` does not go through this list.
+        """
+        return self._scored(self._tagged().join(self.matches, ["h", "w"]))
+
     def flagged(self) -> DataFrame:
-        """Pairs that count as leaks, and by which rule."""
+        """Pairs that count as leaks, and by which rule.
+
+        A pair qualifies through a window that is no template, of which each has at most ``max_doc_freq`` lines,
+        or by templates alone if these cover the evaluation text to ``full_containment``; so only pairs of the first
+        kind, and all pairs of such boilerplate texts, are scored.
+        """
         r = self.rule
-        p = self.pairs().join(self.val.select("doc", "n_windows"), "doc")
+        tagged = materialize(self._tagged(), "tagged")
+        by_window = tagged.filter("not template").join(self.matches, ["h", "w"]).select("doc", "line").distinct()
+        cover = Window.partitionBy("doc").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1)
+        added = F.greatest(F.lit(0), F.col("e") - F.greatest("s", F.coalesce(F.max("e").over(cover), F.col("s"))))
+        plain = tagged.filter("template").withColumn("add", added).groupBy("doc", "n").agg(F.sum("add").alias("c")).filter(F.when(F.col("n") > 0, F.col("c") / F.col("n")).otherwise(1.0) >= r.full_containment).select("doc")
+        by_plain = tagged.filter("template").join(plain, "doc", "left_semi").join(self.matches, ["h", "w"]).select("doc", "line").distinct()
+        wanted = materialize(by_window.unionByName(by_plain).distinct(), "wanted")
+        joined = wanted.join(tagged, "doc").join(self.matches, ["line", "h", "w"], "left_semi")
+        p = self._scored(joined).join(self.val.select("doc", "n_windows"), "doc")
         by_cover = (F.col("hits_flt") >= F.least(F.lit(r.min_hits), F.col("n_windows"))) & (F.col("coverage_flt") >= r.min_coverage)
         full = F.col("coverage_raw") >= r.full_containment
         return p.filter(by_cover | full).withColumn("rule", F.when(by_cover, "coverage").otherwise("full_containment"))

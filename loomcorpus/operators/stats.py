@@ -37,15 +37,26 @@ def summary(rows: DataFrame, by: list[str]) -> DataFrame:
     return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("docs"), F.sum("tokens").alias("tokens"), F.sum("utf8_bytes").alias("bytes"), F.round(loss, 6).alias("loss"), F.round(F.exp(loss), 4).alias("ppl"), F.round(bpb(), 6).alias("bpb"))
 
 
+def _moments(y: str, x: str, tag: str = "") -> list[Column]:
+    """Sums from which a ratio and its error follow, so that one pass with partial aggregation is enough."""
+    a, b = F.col(y).cast("double"), F.col(x).cast("double")
+    return [F.count(F.lit(1)).alias(f"n{tag}"), F.sum(a).alias(f"y{tag}"), F.sum(b).alias(f"x{tag}"), F.sum(a * a).alias(f"yy{tag}"), F.sum(a * b).alias(f"xy{tag}"), F.sum(b * b).alias(f"xx{tag}")]
+
+
+def _ratio(tag: str = "") -> Column:
+    return F.try_divide(F.col(f"y{tag}"), F.col(f"x{tag}"))
+
+
+def _error(tag: str = "") -> Column:
+    """sqrt(n var(y - R x)) / sum(x); the residuals y - R x sum to 0, so their squares are all their variance needs."""
+    r, n = _ratio(tag), F.col(f"n{tag}")
+    squares = F.greatest(F.lit(0.0), F.col(f"yy{tag}") - 2 * r * F.col(f"xy{tag}") + r * r * F.col(f"xx{tag}"))
+    return F.when(n >= 2, F.try_divide(F.sqrt(n * F.try_divide(squares, n - 1)), F.col(f"x{tag}")))
+
+
 def ratio_se(rows: DataFrame, y: str, x: str, by: list[str] | None = None) -> DataFrame:
     """Sum(y)/Sum(x) and its delta-method standard error per group: n, ratio, se (null under two rows)."""
-    by = by or []
-    base = rows if by else rows.withColumn("_all", F.lit(1))
-    keys = by or ["_all"]
-    r = base.groupBy(*keys).agg((F.sum(y) / F.sum(x)).alias("ratio"))
-    resid = base.join(F.broadcast(r) if not by else r, keys).withColumn("_e", F.col(y) - F.col("ratio") * F.col(x))
-    out = resid.groupBy(*keys, "ratio").agg(F.count(F.lit(1)).alias("n"), (F.sqrt(F.count(F.lit(1)) * F.var_samp("_e")) / F.sum(x)).alias("se"))
-    return out.drop("_all")
+    return rows.groupBy(*(by or [])).agg(*_moments(y, x)).select(*(by or []), "n", _ratio().alias("ratio"), _error().alias("se"))
 
 
 def paired(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -58,12 +69,9 @@ def paired(a: DataFrame, b: DataFrame) -> DataFrame:
 def paired_se(pairs: DataFrame) -> DataFrame:
     """Bits-per-byte difference a - b with unpaired and paired standard errors, and the gain of pairing."""
     p = pairs.filter("aligned").select((F.col("nll_a") / LN2).alias("ya"), (F.col("nll_b") / LN2).alias("yb"), F.col("bytes_a").alias("x")).withColumn("yd", F.col("ya") - F.col("yb"))
-    out = None
-    for y in ("ya", "yb", "yd"):
-        one = ratio_se(p, y, "x").select("n", F.col("ratio").alias(f"r_{y}"), F.col("se").alias(f"s_{y}"))
-        out = one if out is None else out.join(F.broadcast(one.drop("n")), how="cross")  # one row each
-    un = F.hypot("s_ya", "s_yb")
-    return out.select("n", F.col("r_ya").alias("bpb_a"), F.col("r_yb").alias("bpb_b"), F.col("r_yd").alias("delta"), un.alias("unpaired_se"), F.col("s_yd").alias("paired_se"), (un / F.col("s_yd")).alias("gain"))
+    one = p.agg(*[m for y in ("ya", "yb", "yd") for m in _moments(y, "x", f"_{y}")])
+    cols = [_ratio("_ya").alias("bpb_a"), _ratio("_yb").alias("bpb_b"), _ratio("_yd").alias("delta"), F.hypot(_error("_ya"), _error("_yb")).alias("unpaired_se"), _error("_yd").alias("paired_se")]
+    return one.select(F.col("n_ya").alias("n"), *cols).withColumn("gain", F.try_divide("unpaired_se", "paired_se"))
 
 
 def bootstrap(pairs: DataFrame, resamples: int, seed: int = 0) -> DataFrame:
@@ -85,7 +93,7 @@ def bootstrap(pairs: DataFrame, resamples: int, seed: int = 0) -> DataFrame:
 
 def interval(resampled: DataFrame, resamples: int, level: float = 0.95) -> DataFrame:
     """Mean, standard deviation, floor-indexed interval, least detectable effect and whether zero is outside.  ``resampled`` has one row per resample, a fixed number."""
-    v = (F.col("num") / 1e6) / (LN2 * F.col("den"))
+    v = F.try_divide(F.col("num") / 1e6, LN2 * F.col("den"))
     ranked = resampled.select(v.alias("v")).withColumn("k", F.row_number().over(Window.orderBy("v")) - 1)
     lo, hi = math.floor((1 - level) / 2 * resamples + 1e-9), min(math.floor((1 + level) / 2 * resamples + 1e-9), resamples - 1)
     one = ranked.agg(F.count(F.lit(1)).alias("resamples"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("sd"), F.max(F.when(F.col("k") == lo, F.col("v"))).alias("lo"), F.max(F.when(F.col("k") == hi, F.col("v"))).alias("hi"))
@@ -122,4 +130,4 @@ def mirror_confusion(rows: DataFrame, window: int = 510) -> DataFrame:
     """Per tokenizer (column ``tok``) the chunks its windows make: docs, tokens, chunks, docs with several, share of their bytes.  ``rows``: tok, doc, tokens, bytes."""
     c = F.ceil(F.col("tokens") / F.lit(window)).cast("bigint")
     many = c > 1
-    return rows.withColumn("c", c).groupBy("tok").agg(F.count(F.lit(1)).alias("docs"), F.sum("tokens").alias("tokens"), F.sum("c").alias("chunks"), F.sum(many.cast("bigint")).alias("multi_docs"), F.round(100 * F.sum(F.when(many, F.col("bytes")).otherwise(0)) / F.sum("bytes"), 4).alias("multi_bytes_pct"))
+    return rows.withColumn("c", c).groupBy("tok").agg(F.count(F.lit(1)).alias("docs"), F.sum("tokens").alias("tokens"), F.sum("c").alias("chunks"), F.sum(many.cast("bigint")).alias("multi_docs"), F.round(F.try_divide(100 * F.sum(F.when(many, F.col("bytes")).otherwise(0)), F.sum("bytes")), 4).alias("multi_bytes_pct"))
