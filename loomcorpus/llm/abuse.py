@@ -35,12 +35,12 @@ IDENTITY_TERMS = (
 ORDERS = (1, 2, 3, 5)
 BITS = 19
 #: Log odds from which an n-gram speaks for marked documents, and the share of such n-grams that makes a sentence a first example.
-ODDS, EVIDENCE = 1.8, 0.4
+ODDS, EVIDENCE = 2.2, 0.25
 #: Pieces: longest sentence taken whole, then window and step, for wide and for narrow text.
 WIDE_PIECE, NARROW_PIECE = (56, 36, 9), (130, 80, 20)
 
 _JOIN = re.compile(r"(?<=\w)[ \t]*\r?\n[ \t]*(?=\w)")
-_STOP = re.compile(r"[。!?;｡]+|\.{2,}|(?<=\w)\.(?=\s|$|[\"'”’])|\r")
+_STOP = re.compile(r"[。!?;｡]+|\.{2,}|(?<=\w)\.(?=\s|$|[\"'”’])|(?<=[a-z]{3})\.(?=[a-z]{2})|\r")
 _DROP = re.compile(r"[^\w\n]+|_")
 _DIGIT = re.compile(r"\d")
 
