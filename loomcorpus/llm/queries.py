@@ -105,5 +105,20 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (p1_sample, p2_found, p2_collapsed, p3_found, p4_found, p4_report, p5_found, p5_pieces, p6_containers, p6_fill, p7_found, p7_leaked_items, p8_found, p8_scores, p8_rates)}
 
 
+#: Windows of 150 code points of both tables; those that stand in several records; and their unions.
+_P3 = """WITH r AS (SELECT 'train' AS corpus, line AS rec_id, text FROM train WHERE line IS NOT NULL AND length(text) >= 150 UNION SELECT 'val', doc, text FROM val_large WHERE doc IS NOT NULL AND length(text) >= 150),
+b AS (SELECT corpus, rec_id, k * 512 AS base, substring(text, CAST(k * 512 + 1 AS INT), 661) AS part FROM (SELECT *, unnest(range(0, (length(text) - 150) // 512 + 1)) AS k FROM r)),
+w AS (SELECT corpus, rec_id, base + p AS p, substring(part, CAST(p + 1 AS INT), 150) AS w FROM (SELECT *, unnest(range(0, least(512, length(part) - 149))) AS p FROM b)),
+h AS (SELECT corpus, rec_id, p, hash(w) AS a, hash(w || '#') AS z FROM w),
+s AS (SELECT a, z FROM h GROUP BY a, z HAVING count(DISTINCT corpus || rec_id) > 1),
+g AS (SELECT corpus, rec_id, p, CASE WHEN p - lag(p) OVER (PARTITION BY corpus, rec_id ORDER BY p) <= 150 THEN 0 ELSE 1 END AS new FROM (SELECT DISTINCT corpus, rec_id, p FROM h JOIN s USING (a, z))),
+n AS (SELECT corpus, rec_id, p, sum(new) OVER (PARTITION BY corpus, rec_id ORDER BY p) AS i FROM g)
+SELECT corpus, rec_id, min(p) AS cs, max(p) + 150 AS ce FROM n GROUP BY corpus, rec_id, i"""
+
+_P5 = """SELECT DISTINCT doc, chunk FROM eval_chunks_v3 JOIN val_large USING (doc) WHERE chunk IS NOT NULL AND cs IS NOT NULL AND text IS NOT NULL
+AND strlen(substring(text, CAST(greatest(cs, 0) + 1 AS INT), CAST(coalesce(ce, length(text)) - greatest(cs, 0) AS INT))) > 1500"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Only what SQL can say: the others need compatibility normalization, alignment or a model, and are tested against brute force."""
+    return {"p3_found": _P3, "p5_found": _P5}

@@ -59,6 +59,14 @@ def with_number(df: DataFrame, seed: int = 0) -> DataFrame:
     return df.withColumn("u", number("k0", "k1"))
 
 
+#: Names of columns that are added or used; columns of the input with these names give way.
+_OWN = ("k0", "k1", "u", "epoch", "rate", "rows_", "seen_")
+
+
+def _without_own(df: DataFrame, text_col: str) -> DataFrame:
+    return df.drop(*[c for c in _OWN if c != text_col])
+
+
 def _rate(epoch: str, rates: dict[int, float] | None, rate: float):
     c = F.lit(rate)
     for e, r in sorted((rates or {}).items()):
@@ -72,14 +80,16 @@ def sample(df: DataFrame, epoch_col: str, rate: float = 0.1, rates: dict[int, fl
     The first-seen epoch is the least ``epoch_col`` of equal texts, so later deliveries never
     change it; ``rates`` freezes other rates than ``rate`` for single epochs.  Rows with a null
     text are never chosen; a null epoch counts as the last, at ``rate``.  Repeated rows are chosen together.
+    The added columns replace any of the same name.
     """
-    keyed = with_number(with_key(df.filter(F.col(text_col).isNotNull()), text_col), seed)
+    base = _without_own(df.withColumn("seen_x", F.col(epoch_col)), text_col).withColumnRenamed("seen_x", "seen_")
+    keyed = with_number(with_key(base.filter(F.col(text_col).isNotNull()), text_col), seed)
     top = max([rate, *(rates or {}).values()])
     likely = keyed.filter(F.col("u") < top)  # pre-filter: nothing else can be chosen
     slim = materialize(likely, "likely")
-    first = slim.groupBy("k0", "k1").agg(F.min(epoch_col).alias("epoch"), F.count(F.lit(1)).alias("rows_"))
+    first = slim.groupBy("k0", "k1").agg(F.min("seen_").alias("epoch"), F.count(F.lit(1)).alias("rows_"))
     first = first.withColumn("rate", _rate("epoch", rates, rate))
-    return join_keyed(slim, first, ["k0", "k1"], "rows_").filter(F.col("u") < F.col("rate")).drop("k0", "k1")
+    return join_keyed(slim, first, ["k0", "k1"], "rows_").filter(F.col("u") < F.col("rate")).drop("k0", "k1", "seen_")
 
 
 class Ledger:
@@ -105,7 +115,7 @@ class Ledger:
         """Records the new identities of ``df`` with ``epoch`` and ``rate``; returns the chosen rows of ``df``.  An epoch can be delivered again: its own entries are replaced, older ones stay."""
         if any(e > epoch for e in self._epochs()):
             raise ValueError("epochs must be delivered in order")
-        keyed = with_key(df.filter(F.col(text_col).isNotNull()), text_col)
+        keyed = with_key(_without_own(df, text_col).filter(F.col(text_col).isNotNull()), text_col)
         older = self.keys().filter(F.col("epoch") < epoch)
         new = keyed.select("k0", "k1").distinct().join(older, ["k0", "k1"], "left_anti").withColumn("rate", F.lit(float(rate)))
         new.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.path}/epoch={epoch}")

@@ -24,7 +24,7 @@ def rows(n):
 
 
 def test_sample_is_stable(spark):
-    df = spark.createDataFrame(rows(6000), "doc bigint, text string, batch int, epoch_ string, r double").dropDuplicates(["doc"])
+    df = spark.createDataFrame(rows(6000), "doc bigint, text string, batch int, epoch string, rate double").dropDuplicates(["doc"])
     full = {(r.doc, r.text) for r in sampling.sample(df, "batch").collect()}
     assert full == {(r.doc, r.text) for r in sampling.sample(df.repartition(7).orderBy("text"), "batch").collect()}
     assert 0.07 < len(full) / 6000 < 0.13
@@ -37,7 +37,7 @@ def test_sample_is_stable(spark):
 
 
 def test_sample_rates_are_frozen(spark, tmp_path):
-    df = spark.createDataFrame(rows(3000), "doc bigint, text string, batch int, a string, b double").filter("batch is not null")
+    df = spark.createDataFrame(rows(3000), "doc bigint, text string, batch int, k0 string, u double").filter("batch is not null")
     ledger = sampling.Ledger(spark, f"file://{tmp_path}/ledger")
     chosen = {}
     for epoch, rate in ((1, 0.5), (2, 0.05), (3, 0.2)):
