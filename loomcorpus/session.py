@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,6 +40,20 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once per context, so that their Python finds it wherever they run."""
+    sc = spark.sparkContext
+    if getattr(sc, "_loomcorpus_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[1]
+    with tempfile.TemporaryDirectory() as work:
+        tree = Path(work, "tree", "loomcorpus")
+        shutil.copytree(root / "loomcorpus", tree, ignore=shutil.ignore_patterns("__pycache__"))
+        packed = shutil.make_archive(str(Path(tempfile.mkdtemp(prefix="loomcorpus-"), "loomcorpus")), "zip", Path(work, "tree"))
+    sc.addPyFile(packed)
+    sc._loomcorpus_shipped = True
+
+
 def materialize(df: DataFrame, label: str = "step") -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
