@@ -49,7 +49,8 @@ def char_windows(text: str, size: int = 64, stride: int = 32) -> Column:
     if size % stride == 0:
         blocks = F.regexp_extract_all(F.col(text), F.lit(f"(?s).{{1,{stride}}}"), F.lit(0))
         k = size // stride
-        grid = F.transform(F.sequence(F.lit(0), count), lambda i: F.struct((i * stride).alias("s"), (i * stride + size).alias("e"), F.concat(*[F.element_at(blocks, i + 1 + j) for j in range(k)]).alias("w")))
+        joined = lambda b: F.transform(F.sequence(F.lit(0), count), lambda i: F.struct((i * stride).alias("s"), (i * stride + size).alias("e"), F.concat(*[F.element_at(b, i + 1 + j) for j in range(k)]).alias("w")))
+        grid = F.element_at(F.transform(F.array(blocks), joined), 1)  # the outer transform names the blocks, so they are cut once, not once per window
     else:
         grid = F.transform(F.sequence(F.lit(0), count), lambda i: F.struct((i * stride).alias("s"), (i * stride + size).alias("e"), F.substring(F.col(text), i * stride + 1, F.lit(size)).alias("w")))
     tail = F.when((n - size) % stride != 0, F.array(last)).otherwise(F.array().cast("array<struct<s:int,e:int,w:string>>"))

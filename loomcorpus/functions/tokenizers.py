@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 _LIVE: dict[int, object] = {}
 
 
@@ -121,7 +123,7 @@ def encoded(df: DataFrame, doc: str, bpe: Bpe, text: str = "text") -> DataFrame:
                 ids = b.ids_of(texts)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([len(x) for x in ids], pa.int64()), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array([b.decode(x) == t for x, t in zip(ids, texts, strict=True)])], schema=schema)
 
-    return df.filter(F.col(text).isNotNull()).select(F.col(doc).cast("bigint"), text).mapInArrow(step, "doc bigint, ids array<int>, tokens bigint, bytes bigint, lossless boolean")
+    return spread(df.filter(F.col(text).isNotNull()).select(F.col(doc).cast("bigint"), text)).mapInArrow(step, "doc bigint, ids array<int>, tokens bigint, bytes bigint, lossless boolean")
 
 
 def family(spark: SparkSession, path: str, sizes: dict[str, int]) -> dict[str, Bpe]:

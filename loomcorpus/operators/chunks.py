@@ -9,11 +9,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.joins import join_keyed
+from ..session import spread
 
 #: Tokens given back at most, when a cut-out stretch encodes to more tokens than it had inside its document.
 MOST_BACK = 128
 
 
+#: Tokens beyond the budget that are looked at, so that the end of what is encoded has no influence.
+EDGE = 32
+
+
 def char_chunks(docs: DataFrame, doc: str, budget: int = 510, text: str = "text") -> DataFrame:
     """Chunks of ``budget`` code points: doc, chunk, cs, ce, utf8_bytes.  Null and empty texts give none."""
     n = F.char_length(text)
@@ -27,10 +32,14 @@ def chunk_ends(text: str, ends: Callable[[str], list[int]], budget: int) -> list
 
     ``ends`` gives, for each token of a text, the code point where it ends.
     """
-    out, cs = [], 0
+    out, cs, guess = [], 0, budget * 6
     while cs < len(text):
-        rest = text[cs : cs + budget * 64]
+        rest = text[cs : cs + guess]
         marks = ends(rest)
+        while len(marks) < budget + EDGE and cs + len(rest) < len(text):  # the last tokens of a cut-off rest may be others than in the text
+            guess *= 2
+            rest = text[cs : cs + guess]
+            marks = ends(rest)
         if len(marks) <= budget and cs + len(rest) == len(text):
             out.append((cs, len(text)))
             break
@@ -61,7 +70,7 @@ def token_chunks(docs: DataFrame, doc: str, ends: Callable[[str], list[int]], bu
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], schema=schema)
 
-    return docs.filter(F.char_length(text) > 0).select(F.col(doc).cast("bigint"), text).mapInArrow(step, ", ".join(f"{f.name} bigint" for f in schema))
+    return spread(docs.filter(F.char_length(text) > 0).select(F.col(doc).cast("bigint"), text)).mapInArrow(step, ", ".join(f"{f.name} bigint" for f in schema))
 
 
 def contiguity(chunks: DataFrame, docs: DataFrame, doc: str, text: str = "text") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import char_windows
-from ..session import materialize
+from ..session import materialize, spread
 from .order import row_numbers
 
 #: Windows of evaluation documents up to this number are broadcast (under 200 MB); more are joined by shuffle.
@@ -31,7 +31,7 @@ class Rule:
 
 def windows(df: DataFrame, doc: str, text: str = "text", rule: Rule = Rule()) -> DataFrame:
     """One row per window: doc, n (length of the text), s, e, w.  Null texts give none."""
-    return df.select(F.col(doc).alias("doc"), F.char_length(text).alias("n"), F.explode(char_windows(text, rule.size, rule.stride)).alias("x")).select("doc", "n", "x.s", "x.e", "x.w")
+    return spread(df.select(doc, text)).select(F.col(doc).alias("doc"), F.char_length(text).alias("n"), F.explode(char_windows(text, rule.size, rule.stride)).alias("x")).select("doc", "n", "x.s", "x.e", "x.w")
 
 
 class Audit:

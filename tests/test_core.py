@@ -405,3 +405,35 @@ def test_core_does_not_import_llm():
     for f in root.rglob("*.py"):
         if "llm" not in f.relative_to(root).parts:
             assert ".llm" not in f.read_text(encoding="utf-8")
+
+
+# Functions for SQL, and checks of runs
+
+
+def test_registered_functions(spark):
+    from loomcorpus.functions import registry
+
+    registry.register(spark)
+    texts(spark).createOrReplaceTempView("t")
+    got = {(r.doc, r.s, r.e, r.w) for r in spark.sql("SELECT doc, w.* FROM t, LATERAL windows(text, 64, 32) w").collect()}
+    assert got == {(i, *w) for i, t in enumerate(TEXTS) if t is not None for w in windows(t, 64, 32)}
+    assert spark.sql("SELECT count(*) AS n FROM t, LATERAL chunks(text, 7) c").first().n == chunks.char_chunks(texts(spark), "doc", 7).count()
+    h = [r.h for r in spark.sql("SELECT blake2b64(text) AS h FROM t ORDER BY doc").collect()]
+    assert h == [None if t is None else hashlib.blake2b(t.encode(), digest_size=8).hexdigest() for t in TEXTS]
+
+
+def test_run_checks():
+    from loomcorpus.operators import identity
+
+    identity.same_run({"a": 1, "b": "x"}, {"b": "x", "a": 1})
+    for other in ({"a": True, "b": "x"}, {"a": 1}, {"a": 1, "b": "x", "c": None}):
+        with pytest.raises(quality.GateError):
+            identity.same_run({"a": 1, "b": "x"}, other)
+    assert identity.launch("pack", {"pack": "p"})["pack"] == "p"
+    for bad in (("full", {"pack": "p"}), ("ful", {})):
+        with pytest.raises(ValueError):
+            identity.launch(*bad)
+    assert identity.pinned_order(1_250_235)[1]["order_sha256"].startswith("7d204f346dc1568078db2cf1")
+    assert identity.throughput(100, 4.0, 2)["rows_per_s"] == 50 and identity.throughput(1, 0)["rows_per_s"] == 0
+    data = "a界".encode()
+    assert [identity.clean_prefix(data, [1, 2, 3, 4], k) for k in range(5)] == [0, 1, 1, 1, 4]
