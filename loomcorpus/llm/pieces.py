@@ -1,0 +1,298 @@
+"""Which texts stand in which others within a tolerance of edits: a search in memory that loses no pair.
+
+Every text to be found is cut into pieces of at most ``WORD`` letters.  If the whole has at most a share of
+edits, so has one of its pieces, and of each halving of the pieces one half.  A piece of n letters with at most k
+edits keeps n // q - k of its n // q neighbouring grams of q letters, and these lie on k + 1 neighbouring
+diagonals.  What has that many there is aligned: the piece, then the halves that hold it, then the whole text.
+"""
+
+from __future__ import annotations
+
+import heapq
+import math
+from collections import defaultdict
+
+import numpy as np
+
+from .hashing import code_points
+
+WORD = 64
+#: Positions searched at once, positions that a piece with its edits can take, and hits held at once.
+STRETCH, REACH, HITS = 1 << 15, 2 * WORD, 1 << 22
+#: Bits of a gram's cell; grams that share one are only more candidates.
+CELLS = 20
+_FACTORS = (np.random.Generator(np.random.Philox(7)).integers(1, 1 << 62, 4, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
+#: Bits of the sets of grams that tell candidates apart, and the lengths of those grams.
+SET, TOLD = 1024, (3, 4, 2)
+
+
+def infix_distance(p: str, t: str, most: int) -> int:
+    """Fewest edits that turn some stretch of ``t`` into the whole of ``p``; ``most + 1`` if more than ``most``."""
+    if p in t:
+        return 0
+    m = len(p)
+    if not m or m - len(t) > most:
+        return 0 if not m else most + 1
+    eq: dict[str, int] = {}
+    for i, ch in enumerate(p):
+        eq[ch] = eq.get(ch, 0) | 1 << i
+    full, top = (1 << m) - 1, 1 << (m - 1)
+    up, down, score, best, left = full, 0, m, m, len(t)
+    for ch in t:
+        e = eq.get(ch, 0)
+        x = e | down
+        h = (((e & up) + up) ^ up) | e
+        plus = down | (full & ~(h | up))
+        minus = up & h
+        if plus & top:
+            score += 1
+        elif minus & top:
+            score -= 1
+        plus = plus << 1 & full
+        minus = minus << 1 & full
+        up = minus | (full & ~(x | plus))
+        down = plus & x
+        left -= 1
+        if score < best:
+            best = score
+        if score - left > most and best > most:
+            return most + 1
+    return best if best <= most else most + 1
+
+
+def _grams(codes: np.ndarray, q: int, bits: int = CELLS) -> np.ndarray:
+    n = max(0, len(codes) - q + 1)
+    h = np.zeros(n, np.uint64)
+    for k in range(q):
+        h += (codes[k : k + n].astype(np.uint64) + np.uint64(1)) * _FACTORS[k]
+    h ^= h >> np.uint64(31)
+    h *= _FACTORS[0]
+    return (h >> np.uint64(64 - bits)).astype(np.int32)
+
+
+def _bytes(codes: np.ndarray) -> np.ndarray:
+    """A byte for each code; those that share one only make a piece seem nearer."""
+    return ((codes ^ (codes >> np.uint32(8))) & np.uint32(0xFF)).astype(np.uint8)
+
+
+def _sets(rows: int, row: np.ndarray, cell: np.ndarray) -> np.ndarray:
+    """Bitmaps of ``SET`` bits, one a row."""
+    bits = np.zeros((rows, SET), bool)
+    bits[row, cell] = True
+    return np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
+
+
+class Sought:
+    """Texts to be found, cut into pieces, with an index of their grams for each length of gram in use."""
+
+    def __init__(self, texts: list[str], tolerance: float):
+        self.texts, self.tolerance = texts, tolerance
+        lens = np.array([len(t) for t in texts], np.int64)
+        self.codes = np.concatenate([code_points(t) for t in texts])
+        self.bytes = _bytes(self.codes)
+        starts = np.cumsum(lens) - lens
+        self.parts = np.maximum(1, -(-lens // WORD))
+        self.text = np.repeat(np.arange(len(texts)), self.parts)
+        self.part = np.arange(len(self.text)) - np.repeat(np.cumsum(self.parts) - self.parts, self.parts)
+        n, m = self.parts[self.text], lens[self.text]
+        self.begin = self.part * m // n
+        self.size = (self.part + 1) * m // n - self.begin
+        self.most = np.floor(tolerance * self.size + 1e-9).astype(np.int64)
+        self.at = starts[self.text] + self.begin
+        q = np.ones(len(self.text), np.int64)
+        for k in (2, 3, 4):
+            q[self.size // k - self.most >= 2] = k
+        q[(q == 1) & (self.size // 2 - self.most >= 1)] = 2
+        self.need = self.size // q - self.most
+        self.shift = 4 if self.most.max(initial=0) <= 16 else 6
+        self.sets = []
+        for k in TOLD:
+            cell, rows = _grams(self.codes, k, SET.bit_length() - 1), []
+            for phase in range(k):
+                many = np.maximum(0, self.size - phase) // k
+                piece = np.repeat(np.arange(len(self.text)), many)
+                off = (np.arange(len(piece)) - np.repeat(np.cumsum(many) - many, many)) * k + phase
+                rows.append(_sets(len(self.text), piece, cell[self.at[piece] + off]))
+            self.sets.append(rows)
+        self.index = []
+        for k in np.unique(q).tolist():
+            which = np.flatnonzero(q == k)
+            many = self.size[which] // k
+            piece = np.repeat(which, many)
+            off = (np.arange(len(piece)) - np.repeat(np.cumsum(many) - many, many)) * k
+            cell = _grams(self.codes, k)[self.at[piece] + off]
+            order = np.argsort(cell, kind="stable")
+            n_in = np.bincount(cell, minlength=1 << CELLS).astype(np.int32)
+            self.index.append((k, n_in, (np.cumsum(n_in) - n_in).astype(np.int32), piece[order].astype(np.int32), off[order].astype(np.int32)))
+
+
+def _candidates(s: Sought, codes: np.ndarray):
+    """(pieces, first diagonals) where two neighbouring buckets of diagonals hold grams enough."""
+    stride = ((STRETCH + 3 * REACH) >> s.shift) + 3
+    for q, n_in, first, piece_of, off_of in s.index:
+        cell = _grams(codes, q)
+        for a in range(0, max(1, len(cell)), STRETCH):
+            c = cell[a : a + STRETCH + REACH]
+            n = n_in[c]
+            at = np.flatnonzero(n)
+            if not len(at):
+                continue
+            n, f = n[at].astype(np.int64), first[c[at]].astype(np.int64)
+            upto = np.cumsum(n)
+            keys, counts = [], []
+            lo = 0
+            while lo < len(at):
+                done = upto[lo - 1] if lo else 0
+                hi = max(lo + 1, int(np.searchsorted(upto, done + HITS, "right")))
+                m = n[lo:hi]
+                i = np.repeat(f[lo:hi] - (upto[lo:hi] - m - done), m) + np.arange(int(upto[hi - 1] - done))
+                key = piece_of[i].astype(np.int64) * stride
+                key += (np.repeat(at[lo:hi], m) - off_of[i] + WORD) >> s.shift
+                if len(s.text) * stride < 1 << 31:
+                    key = key.astype(np.int32)
+                key.sort()
+                edge = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1])
+                keys.append(key[edge].astype(np.int64))
+                counts.append(np.diff(np.concatenate([edge, [len(key)]])))
+                lo = hi
+            key, count = keys[0], counts[0]
+            if len(keys) > 1:
+                key, back = np.unique(np.concatenate(keys), return_inverse=True)
+                count = np.bincount(back, np.concatenate(counts)).astype(np.int64)
+            both = count.copy()
+            both[:-1] += np.where(key[1:] == key[:-1] + 1, count[1:], 0)
+            k = both >= s.need[key // stride]
+            if k.any():
+                yield key[k] // stride, ((key[k] % stride) << s.shift) - WORD + a
+
+
+def _windows(s: Sought, codes: np.ndarray, q: int) -> np.ndarray:
+    """For each bucket of diagonals the set of grams of ``q`` letters where a piece on it or the next can lie."""
+    step = 1 << s.shift
+    cell = _grams(codes, q, SET.bit_length() - 1)
+    blocks = -(-len(codes) // step) + WORD // step
+    have = np.zeros((blocks + 5 + 2 * WORD // step, SET // 64), np.uint64)
+    for lo in range(0, len(cell), STRETCH):
+        c = cell[lo : lo + STRETCH]
+        one = _sets(-(-len(c) // step), np.arange(len(c)) // step, c)
+        b = lo // step + 1 + WORD // step
+        have[b : b + len(one)] = one
+    out = have[: blocks + 1].copy()
+    for k in range(1, 4 + WORD // step):
+        out |= have[k : k + blocks + 1]
+    return out
+
+
+def _likely(s: Sought, windows: list[np.ndarray], piece: np.ndarray, diag: np.ndarray) -> np.ndarray:
+    """The candidates that lack at most as many grams, of those next to each other, as there may be edits."""
+    left = np.arange(len(piece))
+    at = (diag + WORD) >> s.shift
+    for phases, have in zip(s.sets, windows, strict=True):
+        for rows in phases:
+            p = piece[left]
+            missing = np.bitwise_count(rows[p] & ~have[at[left]]).sum(axis=1, dtype=np.int64)
+            left = left[missing <= s.most[p]]
+    return left
+
+
+def _aligned(s: Sought, codes: np.ndarray, piece: np.ndarray, diag: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each candidate the first and the last place in ``codes`` where its piece ends within its edits; -1 for none."""
+    first, last = np.full(len(piece), -1, np.int64), np.full(len(piece), -1, np.int64)
+    room, most = 2 << s.shift, int(s.most.max(initial=0))
+    width = room + WORD + 2 * most
+    own, other, one = s.bytes, _bytes(codes), np.uint64(1)
+    for lo in range(0, len(piece), 4096):
+        p, start = piece[lo : lo + 4096], diag[lo : lo + 4096] - most
+        size = s.size[p]
+        x = s.at[p][:, None] + np.arange(WORD)
+        pat = own[np.minimum(x, len(own) - 1)]
+        txt = other[np.clip(start + np.arange(width)[:, None], 0, len(other) - 1)]
+        top = one << (size - 1).astype(np.uint64)
+        up, down = np.full(len(p), ~np.uint64(0)), np.zeros(len(p), np.uint64)
+        score, k = size.copy(), s.most[p]
+        fst, lst = np.full(len(p), -1, np.int64), np.full(len(p), -1, np.int64)
+        for j in range(width):
+            e = np.packbits(pat == txt[j][:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
+            v = e | down
+            h = (((e & up) + up) ^ up) | e
+            plus, minus = down | ~(h | up), up & h
+            score += ((plus & top) != 0).astype(np.int64) - ((minus & top) != 0)
+            plus, minus = plus << one, minus << one
+            up, down = minus | ~(v | plus), plus & v
+            ok = score <= k
+            lst[ok] = j
+            fst[ok & (fst < 0)] = j
+        hit = lst >= 0
+        first[lo : lo + 4096] = np.where(hit, np.clip(start + fst, 0, len(codes) - 1), -1)
+        last[lo : lo + 4096] = np.where(hit, np.clip(start + lst, 0, len(codes) - 1), -1)
+    return first, last
+
+
+def _climbed(v: str, t: str, parts: int, leaves: list[tuple[int, int]], room: int, tolerance: float) -> int | None:
+    """The distance of the whole text, by aligning ever larger halves around its pieces; None if over the tolerance.  ``leaves``: part and first diagonal."""
+    m = len(v)
+    found: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
+    above: dict[tuple[int, int], tuple[int, int]] = {}
+    for part, diag in leaves:
+        found[part, part + 1].append((diag, diag + room - 1))
+    heap = []
+    for node in list(found):
+        lo, hi = 0, parts
+        while hi - lo > 1:
+            mid = (lo + hi) // 2
+            below = (lo, mid) if node[0] < mid else (mid, hi)
+            above[below] = (lo, hi)
+            lo, hi = below
+        heap.append((1, node))
+    heapq.heapify(heap)
+    queued = set(found)
+    while heap:
+        _, (lo, hi) = heapq.heappop(heap)
+        x, y = lo * m // parts, hi * m // parts
+        most = math.floor(tolerance * (y - x) + 1e-9)
+        ranges: list[list[int]] = []
+        for a, z in sorted(found.pop((lo, hi))):
+            if ranges and a <= ranges[-1][1] + 2 * most + (y - x):
+                ranges[-1][1] = max(ranges[-1][1], z)
+            else:
+                ranges.append([a, z])
+        if hi - lo > 1 or parts == 1:
+            got = [(infix_distance(v[x:y], t[max(0, a + x - most) : max(0, z + y + most + 1)], most), a, z) for a, z in ranges]
+            if parts == hi - lo:
+                best = min(d for d, _, _ in got)
+                return best if best <= most else None
+            ranges = [[a, z] for d, a, z in got if d <= most]
+        if ranges:
+            up = above[lo, hi]
+            found[up] += [(a, z) for a, z in ranges]
+            if up not in queued:
+                queued.add(up)
+                heapq.heappush(heap, (up[1] - up[0], up))
+    return None
+
+
+def search(s: Sought, texts: list[str]) -> list[tuple[int, int, int]]:
+    """(index of the sought text, index in ``texts``, distance) of every pair."""
+    codes = np.concatenate([code_points(t) for t in texts])
+    lens = np.array([len(t) for t in texts], np.int64)
+    ends = np.cumsum(lens)
+    starts = ends - lens
+    pairs: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
+    windows = [_windows(s, codes, q) for q in TOLD]
+    for piece, diag in _candidates(s, codes):
+        k = _likely(s, windows, piece, diag)
+        piece, diag = piece[k], diag[k]
+        first, last = _aligned(s, codes, piece, diag)
+        k = np.flatnonzero(last >= 0)
+        r0, r1 = np.searchsorted(ends, first[k], "right"), np.searchsorted(ends, last[k], "right")
+        for p, d, a, z in zip(piece[k].tolist(), diag[k].tolist(), r0.tolist(), r1.tolist(), strict=True):
+            for r in range(a, z + 1):
+                pairs[int(s.text[p]), r].append((int(s.part[p]), d - int(s.begin[p]) - int(starts[r])))
+    out = []
+    for (v, r), leaves in pairs.items():
+        most = math.floor(s.tolerance * len(s.texts[v]) + 1e-9)
+        if len(texts[r]) >= len(s.texts[v]) - most:
+            d = _climbed(s.texts[v], texts[r], int(s.parts[v]), leaves, 2 << s.shift, s.tolerance)
+            if d is not None:
+                out.append((v, r, d))
+    return out

@@ -208,3 +208,20 @@ def test_sketch_never_misses(spark):
     assert kept >= set(range(0, 500, 7)) and len(kept) < 200
     m = sketch.members(df.filter("k < 50"), "k", 14)
     assert {r.k for r in sketch.keep(df, "k", m).collect()} >= set(range(50))
+
+
+def spaced(t, every, ch):
+    return "".join(ch if i % every == every - 1 else c for i, c in enumerate(t))
+
+
+def near_pairs(spark, val, train):
+    return {(r.doc, r.line): r.distance for r in overlap.near(frame(spark, val, "doc"), "doc", frame(spark, train, "line"), "line").collect()}
+
+
+def test_near_with_every_fifth_letter_replaced(spark):
+    """A fifth of all letters, spread so evenly that no stretch of five stays whole."""
+    rng = random.Random(11)
+    texts = ["".join(rng.choice(a) for _ in range(n)) for n in (65, 130, 300, 2000, 8000) for a in ("abcdefghijklmnopqrstuvwxyz", "木水火土金山河日月星辰风云雨雪春夏秋冬")]
+    val = list(enumerate(texts))
+    train = [(100 + i, "".join(rng.choice("xyz") for _ in range(200)) + spaced(t, 5, "7")) for i, t in val]
+    assert near_pairs(spark, val, train) == {(i, 100 + i): len(t) // 5 for i, t in val}
