@@ -225,3 +225,12 @@ def test_near_with_every_fifth_letter_replaced(spark):
     val = list(enumerate(texts))
     train = [(100 + i, "".join(rng.choice("xyz") for _ in range(200)) + spaced(t, 5, "7")) for i, t in val]
     assert near_pairs(spark, val, train) == {(i, 100 + i): len(t) // 5 for i, t in val}
+
+
+def test_near_copies_of_a_hot_text(spark):
+    """A text redelivered over 8 times, with over 64 train records near it, each edited elsewhere."""
+    rng = random.Random(12)
+    text = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(640))
+    val = [(i, text) for i in range(10)]
+    train = [(100 + i, edited(rng, text, 0.18)) for i in range(70)]
+    assert set(near_pairs(spark, val, train)) == {(i, j) for i, _ in val for j, _ in train}
