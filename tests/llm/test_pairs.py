@@ -234,3 +234,10 @@ def test_near_copies_of_a_hot_text(spark):
     val = [(i, text) for i in range(10)]
     train = [(100 + i, edited(rng, text, 0.18)) for i in range(70)]
     assert set(near_pairs(spark, val, train)) == {(i, j) for i, _ in val for j, _ in train}
+
+
+def test_near_where_a_part_stands_before_the_whole(spark):
+    rng = random.Random(13)
+    v, other = (" ".join(rng.choice(WORDS) for _ in range(n)) for n in (200, 700))
+    cut = len(v) * 6 // 10
+    assert near_pairs(spark, [(1, v)], [(2, v[:cut] + other + v), (3, v[:cut] + other)]) == {(1, 2): 0}
