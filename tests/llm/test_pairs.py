@@ -241,3 +241,20 @@ def test_near_where_a_part_stands_before_the_whole(spark):
     v, other = (" ".join(rng.choice(WORDS) for _ in range(n)) for n in (200, 700))
     cut = len(v) * 6 // 10
     assert near_pairs(spark, [(1, v)], [(2, v[:cut] + other + v), (3, v[:cut] + other)]) == {(1, 2): 0}
+
+
+def test_near_of_short_texts(spark):
+    """Texts of few letters, inside longer ones and edited."""
+    rng = random.Random(14)
+    long = "the quick brown fox jumps over a lazy dog near the river bank"
+    reduced = letters_digits(long)[:40]
+    val = [(1, "zebra"), (2, "灯塔数据河流"), (3, reduced), (4, "q")]
+    train = [(10, prose(rng, 30) + " zebxa " + prose(rng, 30)), (11, prose(rng, 30) + "灯塔x数据河流" + prose(rng, 30)), (12, "0" * 50 + reduced[:20] + "#7" + reduced[21:] + "1" * 50)]
+    got = near_pairs(spark, val, train)
+    want = {}
+    for i, v in val:
+        for j, t in train:
+            most = int(0.2 * len(v) + 1e-9)
+            if (d := overlap.infix_distance(v, letters_digits(t), most)) <= most:
+                want[i, j] = d
+    assert got == want and {(1, 10), (2, 11), (3, 12)} <= set(want)
