@@ -1,9 +1,8 @@
 """Problem 7: evaluation passages inside a corpus, by spaced seeds.
 
 Tokens are the letters and digits of the reduced text.  Each fixed mask spans ``SPAN`` tokens and ignores some
-of them, so a substitution there does not hide the seed.  Test items are hashed at every token,
-documents at every ``SPAN``-th: any common stretch of ``2 * SPAN`` tokens holds a whole seed of
-every mask.  Matching hashes are verified around the hit on both texts: exact runs, and overlaps
+of them, so a substitution there does not hide the seed.  Both sides are hashed at every token; a bitmap of the items'
+seeds thins the documents', and any common stretch of ``2 * SPAN`` tokens holds over ``SPAN`` seeds of every mask.  Matching hashes are verified around the hit on both texts: exact runs, and overlaps
 that tolerate substitutions.  Runs of neighbouring seeds on one diagonal are united.
 """
 
@@ -81,9 +80,9 @@ def _doc_seeds(docs: DataFrame, wanted: sketch.Repeated) -> DataFrame:
                     continue
                 lens = np.array([len(t) for t in texts])
                 ends = np.cumsum(lens)
-                n = (lens - SPAN) // SPAN + 1
+                n = lens - SPAN + 1
                 which = np.repeat(np.arange(len(ids)), n)
-                at = (np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)) * SPAN
+                at = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
                 codes = np.concatenate([code_points(t) for t in texts])
                 for key in seed_keys(codes, at + (ends - lens)[which]):
                     k = np.flatnonzero(held.value.holds(key))

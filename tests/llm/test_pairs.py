@@ -258,3 +258,12 @@ def test_near_of_short_texts(spark):
             if (d := overlap.infix_distance(v, letters_digits(t), most)) <= most:
                 want[i, j] = d
     assert got == want and {(1, 10), (2, 11), (3, 12)} <= set(want)
+
+
+def test_leak_whose_blocks_all_hold_a_substitution(spark):
+    """Ninety tokens with one letter altered that every mask counts, in the only block of documents at a 40th token."""
+    rng = random.Random(15)
+    item = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(90))
+    doc = "0" * 20 + item[:39] + "7" + item[40:] + "1" * 60
+    r = leaks.leaks(frame(spark, [(1, item)], "item_id"), "item_id", frame(spark, [(2, doc)], "doc_id"), "doc_id").collect()
+    assert len(r) == 1 and r[0].longest_run < 80 <= r[0].longest_overlap
