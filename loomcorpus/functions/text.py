@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -55,3 +56,9 @@ def char_windows(text: str, size: int = 64, stride: int = 32) -> Column:
         grid = F.transform(F.sequence(F.lit(0), count), lambda i: F.struct((i * stride).alias("s"), (i * stride + size).alias("e"), F.substring(F.col(text), i * stride + 1, F.lit(size)).alias("w")))
     tail = F.when((n - size) % stride != 0, F.array(last)).otherwise(F.array().cast("array<struct<s:int,e:int,w:string>>"))
     return F.when(F.col(text).isNull(), None).when(n <= size, whole).otherwise(F.concat(grid, tail))
+
+
+def char_widths(text: str) -> np.ndarray:
+    """UTF-8 bytes of every code point, on the Python side."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return 1 + (c > 0x7F).astype(np.int64) + (c > 0x7FF) + (c > 0xFFFF)

@@ -109,8 +109,8 @@ class Bpe:
         return [e for _, e in self._live().encode(text, add_special_tokens=False).offsets]
 
 
-def encoded(df: DataFrame, doc: str, bpe: Bpe, text: str = "text") -> DataFrame:
-    """doc, ids, tokens, bytes, lossless (whether decoding gives the text back).  Rows with a null text are left out."""
+def encoded(df: DataFrame, doc: str, bpe: Bpe, text: str = "text", check: bool = True) -> DataFrame:
+    """doc, ids, tokens, bytes, lossless (whether decoding gives the text back; null without ``check``).  Rows with a null text are left out."""
     held = df.sparkSession.sparkContext.broadcast(bpe)
     schema = pa.schema([("doc", pa.int64()), ("ids", pa.list_(pa.int32())), ("tokens", pa.int64()), ("bytes", pa.int64()), ("lossless", pa.bool_())])
 
@@ -121,7 +121,7 @@ def encoded(df: DataFrame, doc: str, bpe: Bpe, text: str = "text") -> DataFrame:
                 part = batch.slice(lo, 256)
                 texts = part.column(1).to_pylist()
                 ids = b.ids_of(texts)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([len(x) for x in ids], pa.int64()), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array([b.decode(x) == t for x, t in zip(ids, texts, strict=True)])], schema=schema)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([len(x) for x in ids], pa.int64()), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array([b.decode(x) == t if check else None for x, t in zip(ids, texts, strict=True)], pa.bool_())], schema=schema)
 
     return spread(df.filter(F.col(text).isNotNull()).select(F.col(doc).cast("bigint"), text)).mapInArrow(step, "doc bigint, ids array<int>, tokens bigint, bytes bigint, lossless boolean")
 

@@ -43,11 +43,13 @@ def throughput(rows: int, seconds: float, passes: int = 1, flops_per_row: float
 
 
 def clean_prefix(data: bytes, byte_cum: list[int], tokens: int) -> int:
-    """The greatest number of tokens up to ``tokens`` whose bytes are whole characters; ``byte_cum[k]`` is where token k ends."""
-    for k in range(tokens, 0, -1):
-        try:
-            data[: byte_cum[k - 1]].decode("utf-8")
-            return k
-        except UnicodeDecodeError:
-            continue
-    return 0
+    """The greatest number of tokens up to ``tokens`` whose bytes are whole characters; ``byte_cum[k]`` is where token k + 1 begins."""
+    try:
+        data.decode("utf-8")
+        whole = len(data)
+    except UnicodeDecodeError as e:
+        whole = e.start
+    inner = np.append((np.frombuffer(data, np.uint8) & 0xC0) == 0x80, False)  # bytes within a character
+    ends = np.asarray(byte_cum[:tokens], np.int64)
+    clean = np.flatnonzero((ends <= whole) & ~inner[np.minimum(ends, len(data))])
+    return int(clean[-1]) + 1 if len(clean) else 0

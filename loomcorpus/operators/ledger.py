@@ -58,11 +58,11 @@ def tail_mean(ledger: DataFrame, value: str, k: int = 20) -> DataFrame:
 
 
 def lr_wsd(step: Column, total: int, lr: float, warmup: float = 0.02, decay: float = 0.1, floor: float = 0.1) -> Column:
-    """Warm-up, stable, cosine decay to ``floor`` of the rate."""
-    w, d = max(int(warmup * total), 1), max(int(decay * total), 1)
-    progress = (step - (total - d)) / F.lit(float(d))
-    falling = lr * (floor + (1 - floor) * 0.5 * (1 + F.cos(F.lit(math.pi) * progress)))
-    return F.when(step < w, lr * (step + 1) / F.lit(float(w))).when(step < total - d, F.lit(lr)).otherwise(falling)
+    """Warm-up, stable, cosine decay to ``floor`` of the rate: the rate times a rise from 0 to 1 times a fall from 1 to ``floor``, each constant outside its own steps."""
+    rise_steps, fall_steps = (max(1, int(share * total)) for share in (warmup, decay))
+    rise = F.least((step + 1) / F.lit(float(rise_steps)), F.lit(1.0))
+    fallen = F.greatest((step - total + fall_steps) / F.lit(float(fall_steps)), F.lit(0.0))
+    return lr * rise * (1 - (1 - floor) * F.pow(F.sin(fallen * (math.pi / 2)), F.lit(2)))
 
 
 def lr_cosine(step: Column, total: int, lr: float) -> Column:
@@ -83,3 +83,13 @@ def plan(tokens: int, batch: int, accum: int, seq_len: int) -> dict[str, int]:
 def retained(ledger: DataFrame, restored: int) -> DataFrame:
     """Rows that stay when a run resumes from ``restored``."""
     return ledger.filter(F.col("step") <= restored)
+
+
+def bytes_agree(ledger: DataFrame, blocks: DataFrame, seqs: str = "seqs_consumed", nbytes: str = "utf8_bytes_cum") -> DataFrame:
+    """Rows of ``ledger`` with ``block_bytes``, the packed bytes up to its last consumed block, and whether both sides agree.
+
+    ``blocks``: seq_id (from 0), bytes_cum.  No block consumed is 0 bytes; a block that isn't there disagrees.
+    """
+    have = blocks.select((F.col("seq_id") + 1).alias(seqs), F.col("bytes_cum").alias("block_bytes"))
+    both = ledger.join(have, seqs, "left").withColumn("block_bytes", F.when(F.col(seqs) == 0, F.lit(0)).otherwise(F.col("block_bytes")))
+    return both.withColumn("agrees", F.coalesce(F.col("block_bytes") == F.col(nbytes), F.lit(False)))

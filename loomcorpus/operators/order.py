@@ -39,7 +39,7 @@ def kth_smallest(df: DataFrame, col: str, k: int, bits: int = 60, step: int = 15
     one group; None if there are fewer than ``k`` rows.
     """
     prefix, left, shift = 0, k, bits
-    rows = df.select(F.col(col).alias("v")).filter("v is not null")
+    rows = materialize(df.select(F.col(col).alias("v")).filter("v is not null"), "values")  # read once for each round
     while shift > 0:
         shift -= step
         here = rows.filter(F.shiftright("v", shift + step) == prefix) if shift + step < bits else rows

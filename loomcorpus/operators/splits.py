@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import content_key, is_blank, seeded
+from ..session import materialize
 from .joins import join_keyed
-from .order import row_numbers, smallest
+from .order import kth_smallest, row_numbers, smallest
+from .quality import GateError
 
 
 def keyed(df: DataFrame, text: str = "text") -> DataFrame:
@@ -40,11 +42,23 @@ def holdout(source: DataFrame, held: DataFrame, exclude: DataFrame) -> dict[str,
     return {"val": val, "train": source.join(val, "key", "left_anti"), "heldout": source.join(val, "key", "left_semi")}
 
 
-def bottom_k(train: DataFrame, old: DataFrame, target: int) -> DataFrame:
-    """The smallest distinct keys of ``train`` that are not in ``old``, as many as ``target`` still needs."""
-    need = target - old.select("key").distinct().count()
-    fresh = distinct_keys(train).join(distinct_keys(old), "key", "left_anti")
-    return fresh.orderBy("key").limit(max(0, need))
+def bottom_k(train: DataFrame, old: DataFrame, target: int, enough: bool = False) -> DataFrame:
+    """The smallest distinct keys of ``train`` that are not in ``old``, as many as ``target`` still needs; with ``enough``, GateError if there are too few.
+
+    The threshold comes from counts of the keys' first 60 bits, so no more than keys that agree in those are ever sorted.
+    """
+    need = max(0, target - old.select("key").distinct().count())
+    fresh = materialize(distinct_keys(train).join(distinct_keys(old), "key", "left_anti").withColumn("h", F.conv(F.substring("key", 1, 15), 16, 10).cast("bigint")), "fresh")
+    if need == 0:
+        return fresh.limit(0).select("key")
+    top = kth_smallest(fresh, "h", need)
+    if top is None:
+        if enough:
+            raise GateError(f"fewer than {need} new documents")
+        return fresh.select("key")
+    below = fresh.filter(F.col("h") < top)
+    ties = fresh.filter(F.col("h") == top).orderBy("key").limit(need - below.count())
+    return below.unionByName(ties).select("key")
 
 
 def freeze(train: DataFrame, old: DataFrame, old_order: str, target: int) -> DataFrame:
@@ -75,3 +89,8 @@ def rebuild(manifest: DataFrame, upstream: DataFrame, order: str) -> DataFrame:
     found = join_keyed(wanted, have.select("key", F.col(order).alias("line")).join(counts, "key"), ["key"], "n")
     missing = wanted.join(have, "key", "left_anti").withColumn("line", F.lit(None).cast("bigint"))
     return found.unionByName(missing).select("i", F.col("key").alias("sha256"), "line")
+
+
+def below(df: DataFrame, number: str, n: int) -> DataFrame:
+    """The rows numbered below ``n``: a limit that reaches the scan as a filter and always takes the same rows."""
+    return df.filter(F.col(number) < n)

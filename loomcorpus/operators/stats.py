@@ -131,3 +131,10 @@ def mirror_confusion(rows: DataFrame, window: int = 510) -> DataFrame:
     c = F.ceil(F.col("tokens") / F.lit(window)).cast("bigint")
     many = c > 1
     return rows.withColumn("c", c).groupBy("tok").agg(F.count(F.lit(1)).alias("docs"), F.sum("tokens").alias("tokens"), F.sum("c").alias("chunks"), F.sum(many.cast("bigint")).alias("multi_docs"), F.round(F.try_divide(100 * F.sum(F.when(many, F.col("bytes")).otherwise(0)), F.sum("bytes")), 4).alias("multi_bytes_pct"))
+
+
+def extra_chunks(confusion: DataFrame, a: str, b: str) -> DataFrame:
+    """How many chunks more tokenizer ``a`` makes than ``b``, and by how many percent its context begins anew more often: from ``mirror_confusion``."""
+    of = lambda t: F.max(F.when(F.col("tok") == t, F.col("chunks")))
+    one = confusion.agg(of(a).alias("chunks_a"), of(b).alias("chunks_b"))
+    return one.select("chunks_a", "chunks_b", (F.col("chunks_a") - F.col("chunks_b")).alias("extra_chunks"), F.round(F.try_divide(100 * (F.col("chunks_a") - F.col("chunks_b")), F.col("chunks_b")), 4).alias("extra_resets_pct"))

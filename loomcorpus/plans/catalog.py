@@ -5,13 +5,13 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import tokenizers as tok
-from ..operators import chunks, ledger, neardup, packing, profile, quality, scoring, splits, stats
-from ..session import shared_dir, table
+from ..operators import chunks, ledger, neardup, order, packing, pipelines, profile, quality, scoring, splits, stats
+from ..session import materialize, shared_dir, table
 from ..sources import readers
 from ..streaming import ledger as streams
 from . import sql as S
@@ -254,7 +254,7 @@ def _placed(spark, d) -> DataFrame:
 
 @query(f"{S.PLACED} SELECT doc_id, CAST(start AS BIGINT) AS start, CAST(bytes_before AS BIGINT) AS bytes_before FROM p")
 def pack_offsets(spark, d):
-    return _placed(spark, d).select("doc_id", "start", "bytes_before")
+    return packing.offsets(_by_hash(spark, d).drop("text"), ["h", "doc_id"]).select("doc_id", "start", "bytes_before")
 
 
 @query(f"""SELECT docs, text_tokens, structural_tokens, stream, stream // {SEQ_LEN} AS n_seq, stream % {SEQ_LEN} AS tail, bytes, round(bytes / stream, 6) AS bytes_per_token
@@ -377,7 +377,7 @@ def paired_se(spark, d):
     return p.select("n", *[F.round(c, k).alias(c) for c, k in digits.items()])
 
 
-RESAMPLES = 200
+RESAMPLES = 2000
 _BOOT = f"""{S.EVAL}, p AS (SELECT row_number() OVER (ORDER BY doc) - 1 AS j, CAST(round((nll_a - nll_b) * 1e6) AS BIGINT) AS dd, x FROM ab),
 dr AS (SELECT r, {S.hash60("'0:' || r || ':' || k")} % (SELECT count(*) FROM p) AS j FROM range({RESAMPLES}) a(r), (SELECT unnest(range((SELECT count(*) FROM p))) AS k) b),
 bo AS (SELECT r, CAST(sum(dd) AS BIGINT) AS num, CAST(sum(x) AS BIGINT) AS den FROM dr JOIN p USING (j) GROUP BY r)"""
@@ -389,7 +389,7 @@ def bootstrap_hash(spark, d):
 
 
 @query(f"""{_BOOT}, z AS (SELECT (num / 1e6) / (ln(2) * den) AS z, row_number() OVER (ORDER BY (num / 1e6) / (ln(2) * den)) - 1 AS k FROM bo),
-o AS (SELECT count(*) AS resamples, avg(z) AS mean, stddev_samp(z) AS sd, max(CASE WHEN k = 5 THEN z END) AS lo, max(CASE WHEN k = 195 THEN z END) AS hi FROM z)
+o AS (SELECT count(*) AS resamples, avg(z) AS mean, stddev_samp(z) AS sd, max(CASE WHEN k = {int(0.025 * RESAMPLES)} THEN z END) AS lo, max(CASE WHEN k = {int(0.975 * RESAMPLES)} THEN z END) AS hi FROM z)
 SELECT resamples, round(mean, 8) AS mean, round(sd, 8) AS sd, round(lo, 8) AS lo, round(hi, 8) AS hi, round(2 * sd, 8) AS mde, lo > 0 OR hi < 0 AS excludes_zero FROM o""")
 def bootstrap_interval(spark, d):
     return stats.interval(stats.bootstrap(_ab(spark, d), RESAMPLES), RESAMPLES)
@@ -536,6 +536,137 @@ def quality_gates(spark, d):
     ])
 
 
+# Pipelines: counts and gates (all 0 where the rules hold)
+
+
+def _counts(gates: DataFrame, counts: dict[str, DataFrame]) -> DataFrame:
+    """Gates, and rows of the tables that came out, as name and value."""
+    out = gates.select(F.col("gate").alias("name"), F.col("violations").alias("value"))
+    for name, df in counts.items():
+        out = out.unionByName(df.agg(F.count(F.lit(1)).alias("value")).select(F.lit(name).alias("name"), "value"))
+    return out
+
+
+@query(f"""{_SIDES}, tr AS (SELECT key FROM t WHERE key NOT IN (SELECT key FROM held))
+SELECT unnest(['source_rows', 'train_val', 'exclude_val', 'sample_val', 'train_empty', 'sample_size']) AS name, CAST(0 AS BIGINT) AS value
+UNION ALL SELECT 'train', count(*) FROM tr UNION ALL SELECT 'heldout', (SELECT count(*) FROM t) - count(*) FROM tr UNION ALL SELECT 'val', count(*) FROM held UNION ALL SELECT 'sample', least(300, count(DISTINCT key)) FROM tr""")
+def prepare_counts(spark, d):
+    p = pipelines.prepare(*_split_sides(spark, d), 300)
+    return _counts(p["gates"], {k: p[k] for k in ("train", "heldout", "val", "sample")})
+
+
+@query(f"""{_FROZEN}
+SELECT unnest(['new_missing', 'size', 'frozen_duplicates', 'prefix_moved', 'not_captured', 'train_frozen', 'train_rows', 'train_empty']) AS name, CAST(0 AS BIGINT) AS value
+UNION ALL SELECT 'old_duplicates', (SELECT count(*) - count(DISTINCT key) FROM v WHERE split = 'val_old') UNION ALL SELECT 'frozen', count(*) FROM frozen
+UNION ALL SELECT 'train', count(*) FROM t WHERE key NOT IN (SELECT key FROM frozen) UNION ALL SELECT 'dropped', count(*) FROM t WHERE key IN (SELECT key FROM frozen)
+UNION ALL SELECT 'captured', count(DISTINCT key) FROM t WHERE key IN (SELECT key FROM frozen WHERE is_new = 1)""")
+def val_large_counts(spark, d):
+    """The old set of the test tables holds redelivered texts, so its gate counts them and nothing is enforced."""
+    train, _, old = _split_sides(spark, d)
+    p = pipelines.make_val_large(train, "line", old, "doc", old.select("key").distinct().count() + 100, enforce=False)
+    return _counts(p["gates"], {"frozen": p["frozen"], "train": p["train"], "dropped": p["dropped"], "captured": p["frozen"].filter("line is not null")})
+
+
+@query(f"""{S.AUDIT}, s AS (SELECT row_number() OVER (ORDER BY doc) - 1 AS i, doc IN (SELECT doc FROM flagged) AS hit FROM val), o AS (SELECT count(*) AS rows_before, CAST(sum(hit::INT) AS BIGINT) AS removed, CAST(sum((hit AND i < 100)::INT) AS BIGINT) AS of_prefix FROM s)
+SELECT rows_before, rows_before - removed AS rows_after, removed, of_prefix AS removed_of_prefix, 100 - of_prefix AS prefix_after, round(removed / rows_before, 6) AS hit_rate, (SELECT count(*) FROM train) AS train_rows_scanned, true AS frozen, CAST(0 AS BIGINT) AS violations FROM o""")
+def removal_record(spark, d):
+    """The audited val_large without its flagged documents: the record that is appended to the manifest, and the sum of its gates."""
+    audit = _audit(spark, d)
+    frozen = materialize(order.row_numbers(audit.val.select("doc", F.col("doc").cast("string").alias("key")), ["doc"], "i"), "frozen")
+    n = table(spark, d, "train").count()
+    digest = str(readers.content_digest(frozen, ["i", "key"]).first()["digest"])
+    p = pipelines.apply_removal(frozen, frozen.join(audit.flagged().select("doc").distinct(), "doc", "left_semi"), n, n, 100, digest)
+    return p["record"].crossJoin(F.broadcast(p["gates"].agg(F.sum("violations").alias("violations"))))  # one row each
+
+
+@query(f"""WITH u AS (SELECT DISTINCT key FROM {S.keyed("val_large", "doc")}), m AS (SELECT * FROM val_manifest), w AS (SELECT DISTINCT i, lower(sha256) AS sha256 FROM m WHERE i IS NOT NULL AND sha256 IS NOT NULL)
+SELECT 'form' AS name, CAST(sum((i IS NULL OR sha256 IS NULL OR NOT regexp_matches(sha256, '^[0-9a-fA-F]{{64}}$'))::INT) AS BIGINT) AS value FROM m UNION ALL SELECT 'repeated', count(i) - count(DISTINCT i) FROM m UNION ALL SELECT 'gaps', max(i) + 1 - count(DISTINCT i) FROM m
+UNION ALL SELECT 'missing', count(*) FROM w WHERE sha256 NOT IN (SELECT key FROM u) UNION ALL SELECT 'digest', 0 UNION ALL SELECT 'texts', count(*) FROM w WHERE sha256 IN (SELECT key FROM u)""")
+def rebuild_counts(spark, d):
+    p = pipelines.rebuild(table(spark, d, "val_manifest"), splits.keyed(table(spark, d, "val_large")), "doc", enforce=False)
+    return _counts(p["gates"], {"texts": p["texts"]})
+
+
+#: Ids of the code-point tokenizer: those of padding and of the marks come first.
+FIRST_ID, CODE_POINT_IDS = 3, 0x110000 + 3
+
+
+def _char_ids(text: str) -> list[int]:
+    return [ord(c) + FIRST_ID for c in text]
+
+
+def _char_blocks(spark, d) -> tuple[DataFrame, DataFrame, int]:
+    placed = materialize(_placed(spark, d), "placed")
+    n_seq = packing.totals(placed, SEQ_LEN).first()["n_seq"]
+    return materialize(packing.blocks(placed, SEQ_LEN, n_seq, _char_ids), "blocks"), placed, n_seq
+
+
+@query("SELECT unnest(['blocks', 'repeated_blocks', 'length', 'vocabulary', 'padding', 'tokens_recounted', 'bytes_fall', 'bytes_over', 'round_trip']) AS gate, CAST(0 AS BIGINT) AS violations")
+def pack_gates(spark, d):
+    made, placed, n_seq = _char_blocks(spark, d)
+    cum = materialize(packing.block_bytes(placed, SEQ_LEN, n_seq, packing.char_widths), "cum")
+    again = table(spark, d, "documents").filter("text is not null").select("doc_id", F.size(F.split("text", "")).cast("bigint").alias("tokens"))
+    again = again.withColumn("tokens", F.when(F.col("tokens") > 0, F.col("tokens")).otherwise(F.lit(0)))
+    bad = packing.round_trip(made, placed, SEQ_LEN, lambda ids: "".join(chr(i - FIRST_ID) for i in ids))
+    report = quality.report(packing.gates(made, cum, placed.select("doc_id", "tokens", "bytes"), again, "doc_id", SEQ_LEN, n_seq, CODE_POINT_IDS))
+    return report.unionByName(spark.createDataFrame([("round_trip", bad)], "gate string, violations bigint"))
+
+
+@query(f"""{_DELTA}, e AS (SELECT start // {SEQ_LEN} AS seq_id, start % {SEQ_LEN} AS pl FROM p UNION ALL SELECT (start + tokens + 1) // {SEQ_LEN}, (start + tokens + 1) % {SEQ_LEN} FROM p), m AS (SELECT seq_id, count(*) AS marks FROM e WHERE pl > 0 GROUP BY seq_id)
+SELECT seq_id // 32 + 1 AS step, count(*) AS seqs, CAST(sum(bytes_delta) AS BIGINT) AS bytes, CAST(sum({SEQ_LEN} - 1) AS BIGINT) AS targets, CAST(sum({SEQ_LEN} - 1 - coalesce(marks, 0)) AS BIGINT) AS text_targets, CAST(sum(coalesce(marks, 0)) AS BIGINT) AS structural_targets, round(sum({SEQ_LEN} - 1) * ln(6400), 3) AS nll FROM dl LEFT JOIN m USING (seq_id) GROUP BY 1""")
+def update_targets(spark, d):
+    """Updates of 32 blocks with their targets and the NLL of a model that knows nothing."""
+    made, placed, n_seq = _char_blocks(spark, d)
+    delta = packing.deltas(packing.block_bytes(placed, SEQ_LEN, n_seq, packing.char_widths))
+    per = delta.join(packing.structural(made), "seq_id").withColumn("nll", scoring.uniform("targets", 6400))
+    return packing.updates(per, 32).withColumn("nll", F.round("nll", 3))
+
+
+@query(f"""{_DELTA}, u AS (SELECT (seq_id // 32 + 1) AS step, max(seq_id) + 1 AS seqs_consumed, max(bytes_cum) AS utf8_bytes_cum FROM dl GROUP BY 1) SELECT count(*) AS updates, CAST(0 AS BIGINT) AS disagree FROM u""")
+def ledger_blocks(spark, d):
+    """A ledger summed update by update agrees with the packed bytes at every update."""
+    cum = materialize(_cum(spark, d), "cum")
+    u = packing.updates(packing.deltas(cum), 32)
+    w = Window.orderBy("step").rowsBetween(Window.unboundedPreceding, 0)  # one row for each update
+    summed = u.select("step", F.sum("seqs").over(w).alias("seqs_consumed"), F.sum("bytes").over(w).alias("utf8_bytes_cum"))
+    return ledger.bytes_agree(summed, cum).agg(F.count(F.lit(1)).alias("updates"), F.sum((~F.col("agrees")).cast("bigint")).alias("disagree"))
+
+
+@query(f"""WITH s AS (SELECT doc, length(text) AS n, strlen(text) AS b FROM val_large WHERE length(text) > 0)
+SELECT doc, b AS utf8_bytes, n AS tokens, round(n * ln(6400), 4) AS nll, CAST(ceil(n / {BUDGET}.0) AS BIGINT) AS chunks FROM s""")
+def score_v3(spark, d):
+    """Spans of at most the budget scored one by one; a span over it would raise."""
+    import math
+
+    v = table(spark, d, "val_large")
+    spans = materialize(chunks.char_chunks(v, "doc", BUDGET), "spans")
+    return chunks.score_spans(spans, v, "doc", _char_ids, lambda ids: len(ids) * math.log(6400), BUDGET).withColumn("nll", F.round("nll", 4))
+
+
+@query(f"""WITH r AS (SELECT CAST(ceil(length(text) / {BUDGET}.0) AS BIGINT) AS c, CAST(ceil(strlen(text) / {BUDGET}.0) AS BIGINT) AS b FROM val_large WHERE text IS NOT NULL)
+SELECT CAST(sum(b) AS BIGINT) AS chunks_a, CAST(sum(c) AS BIGINT) AS chunks_b, CAST(sum(b) - sum(c) AS BIGINT) AS extra_chunks, round(100 * (sum(b) - sum(c)) / sum(c), 4) AS extra_resets_pct FROM r""")
+def extra_chunks(spark, d):
+    return stats.extra_chunks(mirror_confusion(spark, d), "byte", "char")
+
+
+@query("SELECT line, text FROM train WHERE line < (SELECT min(line) + 500 FROM train)")
+def first_rows(spark, d):
+    """The rows below a row number, a limit that doesn't depend on partitioning."""
+    t = table(spark, d, "train")
+    return splits.below(t, "line", t.agg(F.min("line")).first()[0] + 500).select("line", "text")
+
+
+@query(f"""WITH k AS (SELECT DISTINCT key FROM {S.keyed("train", "line")}) SELECT key FROM k ORDER BY {S.hash60("'42:' || key")} LIMIT 200""")
+def stream_reservoir(spark, d):
+    """The sample of distinct texts kept up to date by a stream over the training rows."""
+    import uuid
+
+    base = f"{shared_dir(spark)}/reservoir-{uuid.uuid4().hex}"
+    stream = spark.readStream.schema(table(spark, d, "train").schema).option("maxFilesPerTrigger", 1).parquet(f"{d}/train.parquet*")
+    streams.reservoir(splits.keyed(stream), 200, f"{base}/state", f"{base}/checkpoint", SEED).awaitTermination()
+    return streams.reservoir_keys(spark, f"{base}/state")
+
+
 # Byte-level BPE (no oracle: DuckDB has no tokenizer)
 
 
@@ -574,6 +705,14 @@ def bpe_chunks(spark, d):
     return chunks.token_chunks(table(spark, d, "val_large"), "doc", _family(spark)["bpe_6400"].ends, BUDGET)
 
 
+@query()
+def bpe_common_chunks(spark, d):
+    """The same spans counted by both tokenizers, with the gates that no span is over the budget for either."""
+    f = _family(spark)
+    p = pipelines.common_chunks(table(spark, d, "val_large").select("doc", "text"), "doc", {k: f[k].ends for k in ("bpe_6400", "bpe_16384")}, BUDGET)
+    return p["gates"]
+
+
 @query()
 def bpe_residual(spark, d):
     """Tokens that chunk boundaries add, for the cutting tokenizer."""
@@ -586,10 +725,10 @@ def bpe_residual(spark, d):
 def bpe_blocks(spark, d):
     """Packed blocks of the smaller tokenizer."""
     bpe = _family(spark)["bpe_6400"]
-    docs = table(spark, d, "val_large").filter("text is not null").select("doc", "text", T.seeded(SEED, "doc").alias("h"))
-    sized = docs.join(tok.encoded(docs, "doc", bpe).select("doc", "tokens", "bytes"), "doc")
-    n_seq = packing.totals(sized, SEQ_LEN).first()["n_seq"]
-    return packing.blocks(packing.offsets(sized, ["h", "doc"]), SEQ_LEN, n_seq, bpe.ids)
+    docs = table(spark, d, "val_large").filter("text is not null").select("doc", "text")
+    e = materialize(tok.encoded(docs, "doc", bpe, check=False).select("doc", "ids", "tokens", "bytes", T.seeded(SEED, "doc").alias("h")), "encoded")
+    n_seq = packing.totals(e, SEQ_LEN).first()["n_seq"]
+    return packing.blocks(packing.offsets(e, ["h", "doc"]), SEQ_LEN, n_seq, column="ids")
 
 
 @query()

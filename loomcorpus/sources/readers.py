@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import json
-import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import is_blank
+from .files import read_text
 
 LEDGER = "run_id string, arm string, step bigint, seqs_consumed bigint, tokens_cum bigint, targets_cum bigint, text_targets_cum bigint, structural_targets_cum bigint, positions_cum bigint, utf8_bytes_cum bigint, flops_nominal_cum bigint, wall_seconds_cum double, lr double, grad_norm double, loss_nats_per_target double, train_bits_per_byte double, logged_at timestamp_ntz"
 LOG_LINE = r"\((\d+)/(\d+)\), loss: ([0-9.]+)"
@@ -38,6 +38,15 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return df.withColumn("ok", F.coalesce(F.col("i").isNotNull() & F.col("sha256").rlike("^[0-9a-fA-F]{64}$"), F.lit(False)))
 
 
+def read_frozen_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """i, sha256 of a manifest that must number its rows from 0 without a gap, hold 64 hex digits in each and not be empty; raises otherwise."""
+    df = read_manifest(spark, path)
+    one = df.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("i").alias("d"), F.min("i").alias("lo"), F.max("i").alias("hi"), F.coalesce(F.sum((~F.col("ok")).cast("long")), F.lit(0)).alias("bad")).first()
+    if not one["n"] or one["bad"] or one["d"] != one["n"] or one["lo"] != 0 or one["hi"] != one["n"] - 1:
+        raise ValueError(f"{path} is no manifest: {one.asDict()}")
+    return df.select("i", "sha256")
+
+
 def read_eval(spark: SparkSession, path: str) -> DataFrame:
     """Per-document rows of evaluation reports: index, utf8_bytes, tokens, nll_nats, chunks."""
     schema = "protocol string, per_document array<struct<index: bigint, utf8_bytes: bigint, tokens: bigint, nll_nats: double, chunks: bigint>>"
@@ -72,20 +81,27 @@ def content_digest(df: DataFrame, cols: list[str]) -> DataFrame:
 def read_config(path: str, default: dict | None = None) -> dict:
     """A small JSON file on the driver; ``default`` where it is missing or damaged."""
     try:
-        with open(path, encoding="utf-8") as f:
-            return json.load(f)
+        return json.loads(read_text(path))
     except (OSError, ValueError):
         if default is None:
             raise
         return default
 
 
-def read_blocks(spark: SparkSession, path: str, seq_len: int, vocab: int | None = None) -> DataFrame:
-    """Packed blocks; raises on reading a block of another length or with an id outside the vocabulary, and if the meta file is missing."""
-    meta = read_config(os.path.join(path.removeprefix("file://"), "meta.json"))
+def read_blocks(spark: SparkSession, path: str, seq_len: int, vocab: int | None = None, verify: bool = True) -> DataFrame:
+    """Packed blocks; raises on reading a block of another length or with an id outside the vocabulary, and if the meta file is missing.
+
+    Where the meta file states ``n_seq`` or a ``digest`` (of ``content_digest`` over seq_id and ids), ``verify`` compares them first.
+    """
+    meta = read_config(f"{path}/meta.json")
     if meta["seq_len"] != seq_len:
         raise ValueError(f"blocks of {meta['seq_len']}, not {seq_len}")
-    df = spark.read.parquet(os.path.join(path, "blocks"))
+    df = spark.read.parquet(f"{path}/blocks")
+    if verify and ("n_seq" in meta or "digest" in meta):
+        one = content_digest(df, ["seq_id", "ids"]).first()
+        for name, got in (("n_seq", one["rows"]), ("digest", str(one["digest"]))):
+            if name in meta and meta[name] != got:
+                raise ValueError(f"{name} of the blocks is {got}, not {meta[name]}")
     bad = F.size("ids") != seq_len
     if vocab is not None:
         bad = bad | F.exists("ids", lambda x: (x < 0) | (x >= vocab))

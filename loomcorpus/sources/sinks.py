@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import json
-import os
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .files import delete, exists_at, move, read_text, write_text
+
 
 def _fs(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -30,10 +31,14 @@ def publish(df: DataFrame, path: str, write: Callable[[DataFrame, str], None], c
         write(df, staged)
         if check:
             check(read(staged) if read else spark.read.parquet(staged))
-        if fs.exists(p):
-            fs.delete(p, True)
+        aside = spark._jvm.org.apache.hadoop.fs.Path(f"{staged}.old")
+        had = fs.exists(p) and fs.rename(p, aside)  # what was there stays until the new one is in place
         if not fs.rename(tmp, p):
+            if had:
+                fs.rename(aside, p)
             raise OSError(f"{staged} can't be moved to {path}")
+        if had:
+            fs.delete(aside, True)
     finally:
         if fs.exists(tmp):
             fs.delete(tmp, True)
@@ -46,32 +51,26 @@ def write_texts(df: DataFrame, path: str, text: str = "text") -> None:
 
 def write_report(path: str, value: dict) -> None:
     """Indented JSON with a line feed at the end, moved into place when complete."""
-    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
     tmp = f"{path}.tmp-{uuid.uuid4().hex}"
-    with open(tmp, "w", encoding="utf-8") as f:
-        f.write(json.dumps(value, ensure_ascii=False, indent=2) + "\n")
-    os.replace(tmp, path)
+    write_text(tmp, json.dumps(value, ensure_ascii=False, indent=2) + "\n")
+    move(tmp, path)
 
 
 def write_manifest(path: str, value: dict, force: bool = False, unfreeze: bool = False) -> None:
     """A manifest replaces another only with ``force``, and a frozen one only with ``unfreeze`` too."""
-    if os.path.exists(path):
-        with open(path, encoding="utf-8") as f:
-            old = json.load(f)
+    if exists_at(path):
         if not force:
             raise FileExistsError(path)
-        if old.get("frozen") is True and not unfreeze:
+        if json.loads(read_text(path)).get("frozen") is True and not unfreeze:
             raise PermissionError(f"{path} is frozen")
     write_report(path, value)
 
 
 def write_blocks(df: DataFrame, path: str, meta: dict) -> None:
     """Packed blocks with their meta file, which goes first and comes last: where it stands, the blocks are complete."""
-    local = path.removeprefix("file://")
-    if os.path.exists(os.path.join(local, "meta.json")):
-        os.remove(os.path.join(local, "meta.json"))
-    df.write.mode("overwrite").parquet(os.path.join(path, "blocks"))
-    write_report(os.path.join(local, "meta.json"), meta)
+    delete(f"{path}/meta.json")
+    df.write.mode("overwrite").parquet(f"{path}/blocks")
+    write_report(f"{path}/meta.json", meta)
 
 
 def may_publish(evaluated_sha256: str, weights_sha256: str) -> None:
