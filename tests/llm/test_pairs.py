@@ -267,3 +267,38 @@ def test_leak_whose_blocks_all_hold_a_substitution(spark):
     doc = "0" * 20 + item[:39] + "7" + item[40:] + "1" * 60
     r = leaks.leaks(frame(spark, [(1, item)], "item_id"), "item_id", frame(spark, [(2, doc)], "doc_id"), "doc_id").collect()
     assert len(r) == 1 and r[0].longest_run < 80 <= r[0].longest_overlap
+
+
+def test_spans_of_rows_that_share_an_id(spark):
+    """Rows of one id with other texts are one record; its runs are looked up in the text that they come from."""
+    rng = random.Random(21)
+    a, b, c = ("".join(rng.choice("abcdefghij") for _ in range(n)) for n in (2500, 200, 600))
+    rows = [(1, a), (1, b), (2, a[1000:2400]), (3, c[:300] + a[1200:1500]), (4, None), (None, a)]
+    df = spark.createDataFrame(rows, "rid bigint, text string")
+    got = {(r.rid, r.cs, r.ce) for r in spans.shared_spans(df).collect()}
+    assert got == {(1, 1000, 2400), (2, 0, 1400), (3, 300, 600)}
+    share = {r.rid: (r.chars, r.shared, round(r.share, 3)) for r in spans.shares(df, spans.shared_spans(df)).collect()}
+    assert share == {1: (2500, 1400, 0.56), 2: (1400, 1400, 1.0), 3: (600, 300, 0.5)}
+    assert spans.shares(df.limit(0), spans.shared_spans(df.limit(0))).count() == 0
+
+
+def test_copies_by_fields_and_of_hot_texts_across_splits(spark):
+    val = [(1, "name: Ada\ncity: Rom\nnote: a long stone"), (2, "plain text that stands here"), (3, "plain text that stands here")]
+    train = [(10, "<note>A long stone</note><city>Rom</city><name>Ada</name>"), (11, "PLAIN text, that stands here!"), (12, None), (13, "other")] + [(i, "plain text that stands here") for i in range(100, 140)]
+    got = {(r.doc, r.line): r.kind for r in overlap.overlaps(frame(spark, val, "doc"), "doc", frame(spark, train, "line"), "line").collect()}
+    want = {(1, 10): "copy"} | {(d, i): "copy" for d in (2, 3) for i in (11, *range(100, 140))}
+    assert got == want
+
+
+def test_search_equals_brute_force():
+    from loomcorpus.llm.collinear import Block, infix_distance, search
+
+    for seed in range(60):
+        rng = random.Random(seed)
+        alphabet = rng.choice(["ab", "abcdefghijklmnopqrstuvwxyz0123456789", "木水火土金山河日月星辰风云雨雪春夏秋冬一二三四五六七八九十", "abc木水火"])
+        rnd = lambda n: "".join(rng.choice(alphabet) for _ in range(n))
+        val = list(dict.fromkeys(rnd(rng.choice([1, 2, 3, 5, 8, 13, 30, 64, 65, 100, 200, 400, 900])) for _ in range(6)))
+        train = list(dict.fromkeys(rnd(rng.randrange(300)) + edited(rng, rng.choice(val), rng.choice([0, 0.05, 0.1, 0.15, 0.2, 0.25])) + rnd(rng.randrange(300)) for _ in range(15)))
+        most = [int(0.2 * len(v) + 1e-9) for v in val]
+        want = {(i, j, d) for i, v in enumerate(val) for j, t in enumerate(train) if (d := infix_distance(v, t, most[i])) <= most[i]}
+        assert set(search(Block(val, 0.2), train)) == want
