@@ -93,31 +93,55 @@ def sample(df: DataFrame, epoch_col: str, rate: float = 0.1, rates: dict[int, fl
 
 
 class Ledger:
-    """First-seen epochs and frozen rates, persisted under ``path`` (one folder per epoch)."""
+    """First-seen epochs and the rates frozen with them, persisted under ``path``: nothing written is ever changed.
+
+    ``keys/epoch=N`` holds the identities first seen in epoch N, ``rates/epoch=N`` the rate of that epoch, as given at its first
+    delivery.  Later deliveries of an epoch add identities at that rate, whatever rate they bring.  One writer at a time.
+    """
 
     def __init__(self, spark: SparkSession, path: str, seed: int = 0):
         self.spark, self.path, self.seed = spark, path, seed
 
-    def _epochs(self) -> list[int]:
-        fs = self.spark._jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration())
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+    def _epochs(self, kind: str) -> list[int]:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{kind}")
+        fs = p.getFileSystem(self.spark._jsc.hadoopConfiguration())
         if not fs.exists(p):
             return []
         return sorted(int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(p) if s.getPath().getName().startswith("epoch="))
 
-    def keys(self) -> DataFrame:
-        """k0, k1, rate, epoch of every identity seen so far."""
-        if not self._epochs():
-            return self.spark.createDataFrame([], "k0 bigint, k1 bigint, rate double, epoch int")
-        return self.spark.read.schema("k0 bigint, k1 bigint, rate double, epoch int").parquet(self.path)
+    def _read(self, kind: str, schema: str) -> DataFrame:
+        if not self._epochs(kind):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).option("basePath", f"{self.path}/{kind}").parquet(f"{self.path}/{kind}")
 
-    def deliver(self, df: DataFrame, epoch: int, rate: float, text_col: str = "text") -> DataFrame:
-        """Records the new identities of ``df`` with ``epoch`` and ``rate``; returns the chosen rows of ``df``.  An epoch can be delivered again: its own entries are replaced, older ones stay."""
-        if any(e > epoch for e in self._epochs()):
+    def rates(self) -> dict[int, float]:
+        """The frozen rate of every epoch."""
+        return {r["epoch"]: r["rate"] for r in self._read("rates", "rate double, epoch int").collect()}  # one row for each epoch
+
+    def keys(self) -> DataFrame:
+        """k0, k1, epoch, rate of every identity seen so far; one that a broken delivery left twice counts in its first epoch."""
+        seen = self._read("keys", "k0 bigint, k1 bigint, epoch int")
+        return seen.groupBy("k0", "k1").agg(F.min("epoch").alias("epoch")).withColumn("rate", _rate("epoch", self.rates(), 0.0))
+
+    def record(self, df: DataFrame, epoch: int, rate: float, text_col: str = "text") -> None:
+        """Adds the identities of ``df`` that no delivery has brought before, with ``epoch``."""
+        frozen = self.rates()
+        if any(e > epoch for e in frozen):
             raise ValueError("epochs must be delivered in order")
-        keyed = with_key(_without_own(df, text_col).filter(F.col(text_col).isNotNull()), text_col)
-        older = self.keys().filter(F.col("epoch") < epoch)
-        new = keyed.select("k0", "k1").distinct().join(older, ["k0", "k1"], "left_anti").withColumn("rate", F.lit(float(rate)))
-        new.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.path}/epoch={epoch}")
+        if epoch not in frozen:
+            self.spark.range(1).select(F.lit(float(rate)).alias("rate")).coalesce(1).write.parquet(f"{self.path}/rates/epoch={epoch}")
+        keyed = with_key(_without_own(df, text_col).filter(F.col(text_col).isNotNull()), text_col).select("k0", "k1").distinct()
+        new = keyed.join(self._read("keys", "k0 bigint, k1 bigint, epoch int").select("k0", "k1"), ["k0", "k1"], "left_anti")
+        materialize(new, "new_keys").write.mode("append").option("compression", "zstd").parquet(f"{self.path}/keys/epoch={epoch}")
+
+    def chosen(self, df: DataFrame, text_col: str = "text") -> DataFrame:
+        """The rows of ``df`` whose identity is in the ledger with a number below its rate; epoch, rate and u are added."""
+        top = max(self.rates().values(), default=0.0)
+        keyed = with_number(with_key(_without_own(df, text_col).filter(F.col(text_col).isNotNull()), text_col), self.seed).filter(F.col("u") < top)
         sized = keyed.groupBy("k0", "k1").agg(F.count(F.lit(1)).alias("rows_")).join(self.keys(), ["k0", "k1"])
-        return join_keyed(with_number(keyed, self.seed), sized, ["k0", "k1"], "rows_").filter(F.col("u") < F.col("rate")).drop("k0", "k1")
+        return join_keyed(keyed, sized, ["k0", "k1"], "rows_").filter(F.col("u") < F.col("rate")).drop("k0", "k1")
+
+    def deliver(self, df: DataFrame, epoch: int, rate: float, text_col: str = "text") -> DataFrame:
+        """Records ``df`` and returns its chosen rows.  An epoch can be delivered again, with the same or with other rows: what was chosen stays chosen."""
+        self.record(df, epoch, rate, text_col)
+        return self.chosen(df, text_col)
