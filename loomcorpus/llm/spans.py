@@ -99,10 +99,22 @@ def runs(records: DataFrame, min_len: int = 150, gram: int = GRAM) -> DataFrame:
     return records.select("rid", "text").mapInArrow(step, "rid bigint, anchor bigint, run bigint, p0 bigint, n int")
 
 
+def _spans(codes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of stretches of a text, worked out as in ``_runs_of``: within the segment that a stretch begins in."""
+    out = np.empty(len(start), np.uint64)
+    for a in np.unique(start // SEGMENT).tolist():
+        here = np.flatnonzero(start // SEGMENT == a)
+        roll = Rolling(codes[a * SEGMENT : int(end[here].max())])
+        out[here] = roll.spans(start[here] - a * SEGMENT, end[here] - a * SEGMENT)
+    return out
+
+
 def _windows(reps: DataFrame, records: DataFrame, min_len: int) -> DataFrame:
     """Hash of every window of the runs in ``reps`` (rid, anchor, run, p0, n, lo, hi), by offset in the run."""
     per = reps.groupBy("rid").agg(F.collect_list(F.struct("anchor", "run", "p0", "n", "lo", "hi")).alias("rs"))  # bounded by the record's own length
-    joined = records.select("rid", "text").join(per, "rid")
+    per = materialize(per, "per_record")
+    wanted = sketch.keep(records.select("rid", "text"), "rid", sketch.members(per, "rid", sketch.bits_for(per.count())))  # only the texts that are needed travel
+    joined = wanted.join(per, "rid")
     schema = pa.schema([(c, pa.int64()) for c in ("anchor", "run")] + [("off", pa.int32())] + [(c, pa.int64()) for c in ("window", "lo", "hi")])
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,6 +123,9 @@ def _windows(reps: DataFrame, records: DataFrame, min_len: int) -> DataFrame:
                 text, rs = b.column(1)[row].as_py(), b.column(2)[row].values
                 codes = code_points(text)
                 anchor, run, p0, n, lo, hi = (rs.field(i).to_numpy(zero_copy_only=False) for i in range(6))
+                k = np.flatnonzero(p0 + n + min_len - 1 <= len(codes))
+                k = k[_spans(codes, p0[k], p0[k] + n[k] - 1 + min_len) == run[k].view(np.uint64)]  # of several texts of a record each has its own runs
+                anchor, run, p0, n, lo, hi = (x[k] for x in (anchor, run, p0, n, lo, hi))
                 for a in range(0, max(1, len(codes) - min_len + 1), SEGMENT):  # windows that begin in this segment
                     roll, z = Rolling(codes[a : a + SEGMENT + min_len - 1]), a + SEGMENT
                     here = np.flatnonzero((p0 < z) & (p0 + n > a))
@@ -163,6 +178,14 @@ def shared_spans(records: DataFrame, min_len: int = 150, gram: int = GRAM, bits:
     return unite(found.select("rid", (F.col("p0") + F.col("q.cs")).alias("cs"), (F.col("p0") + F.col("q.ce") - 1 + min_len).alias("ce")), ["rid"])
 
 
+def shares(records: DataFrame, found: DataFrame) -> DataFrame:
+    """Of every record with a text: rid, chars, shared (characters in ``found``), share (0 for an empty text).  Rows of one rid count as one record, with the longest text's characters."""
+    size = records.filter("rid is not null and text is not null").groupBy("rid").agg(F.max(F.length("text")).cast("bigint").alias("chars"))
+    per = found.groupBy("rid").agg(F.sum(F.col("ce") - F.col("cs")).alias("shared"))
+    both = size.join(per, "rid", "left").withColumn("shared", F.coalesce("shared", F.lit(0)))
+    return both.withColumn("share", F.when(F.col("chars") == 0, 0.0).otherwise(F.col("shared") / F.col("chars")))
+
+
 def with_corpus(corpora: dict[str, tuple[DataFrame, str]]) -> DataFrame:
     """Several tables as one: rid carries the corpus in its low bits, by the order of ``corpora``."""
     out = None
