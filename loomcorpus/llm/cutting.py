@@ -2,8 +2,10 @@
 
 At every possible boundary the words of the block before are compared with those of the block
 after (cosine of counts); valleys of that curve mark changes of topic.  Within the window of
-allowed piece sizes the deepest valley is cut: among ends of paragraphs and sentences if the
-window holds any, else among ends of words, else the piece is filled to the last code point.
+allowed piece sizes (more than two overlaps, and up to the limit) the deepest valley is cut: among
+ends of paragraphs and sentences if the window holds any, else among ends of words, else the piece is
+filled to the last code point.  Of equally deep valleys the last is cut.  Only where no boundary leaves
+two overlaps, one that leaves more than one is taken.
 Every piece but the first begins ``overlap`` characters before the end of the one before.
 """
 
@@ -50,37 +52,42 @@ class Boundaries:
             self._sim[at] = _cosine(Counter(self.tokens[max(0, k - BLOCK) : k]), Counter(self.tokens[k : k + BLOCK]))
         return self._sim[at]
 
-    def depth(self, marks: list[int], i: int, lo: int, hi: int) -> float:
-        """How far the curve rises from boundary ``i`` to the next peak on either side, within marks[lo:hi]."""
-        here = left = right = self.similarity(marks[i])
-        for j in range(i - 1, lo - 1, -1):
-            if (s := self.similarity(marks[j])) < left:
-                break
-            left = s
-        for j in range(i + 1, hi):
-            if (s := self.similarity(marks[j])) < right:
-                break
-            right = s
-        return left + right - 2 * here
+    def depths(self, marks: list[int]) -> list[float]:
+        """How far the curve rises from each boundary to the next peak on either side, within ``marks``."""
+        curve = [self.similarity(m) for m in marks]
+
+        def peaks(c: list[float]) -> list[float]:
+            """Up to each place the peak of the rise that ends there, going back."""
+            out: list[float] = []
+            for i, x in enumerate(c):
+                out.append(out[-1] if i and c[i - 1] >= x else x)
+            return out
+
+        left, right = peaks(curve), peaks(curve[::-1])[::-1]
+        return [a + b - 2 * c for a, b, c in zip(left, right, curve, strict=True)]
+
+    def deepest(self, marks: list[int], lo: int, hi: int) -> int | None:
+        """The deepest valley in (lo, hi] among ``marks``; of equals the last."""
+        a, b = bisect_right(marks, lo), bisect_right(marks, hi)
+        if a >= b:
+            return None
+        return marks[a + max(enumerate(self.depths(marks[a:b])), key=lambda x: (round(x[1], 9), x[0]))[0]]
 
     def sentence(self, lo: int, hi: int) -> int | None:
-        """The deepest valley in (lo, hi] among ends of sentences and paragraphs; of equals the last."""
-        a, b = bisect_right(self.sentences, lo), bisect_right(self.sentences, hi)
-        return self.sentences[max(range(a, b), key=lambda i: (round(self.depth(self.sentences, i, a, b), 9), i))] if a < b else None
+        """The deepest valley among ends of sentences and paragraphs."""
+        return self.deepest(self.sentences, lo, hi)
 
     def word(self, lo: int, hi: int) -> int | None:
-        """The last end of a word in (lo, hi]."""
+        """The deepest valley among ends of words."""
         if self.words is None:
             self.words = sorted({m.end() for m in _SPACE.finditer(self.text)})
-        a, b = bisect_right(self.words, lo), bisect_right(self.words, hi)
-        return self.words[b - 1] if a < b else None
+        return self.deepest(self.words, lo, hi)
 
 
-def pieces(text: str, limit: int = 1500, overlap: int = 60, low: float = 0.5) -> list[tuple[int, int]]:
+def pieces(text: str, limit: int = 1500, overlap: int = 60) -> list[tuple[int, int]]:
     """[start, end) in code points of pieces of at most ``limit`` UTF-8 bytes that cover ``text``.
 
-    Ends are sought first in the last ``1 - low`` of the room, then in all of it.  The limit must
-    hold the overlap and one character more, 4 bytes each.
+    The limit must hold the overlap and one character more, 4 bytes each.
     """
     if limit < 4 * (overlap + 1):
         raise ValueError("the limit is too small for the overlap")
@@ -91,8 +98,8 @@ def pieces(text: str, limit: int = 1500, overlap: int = 60, low: float = 0.5) ->
         marks = marks or Boundaries(text)
         most = int(np.searchsorted(total, total[start] + limit, "right")) - 1
         least = start + overlap  # the next piece must begin after this one
-        middle = max(least, start + int((most - start) * low))
-        end = marks.sentence(middle, most) or marks.sentence(least, most) or marks.word(middle, most) or marks.word(least, most) or most
+        twice = least + overlap
+        end = marks.sentence(twice, most) or marks.sentence(least, most) or marks.word(twice, most) or marks.word(least, most) or most
         out.append((start, end))
         start = end - overlap
     out.append((start, n))
@@ -105,9 +112,9 @@ def cut(chunks: DataFrame, texts: DataFrame, limit: int = 1500, overlap: int = 6
     ``chunks``: doc, chunk, cs, ce (null: the end of the text); ``texts``: doc, text.  Sizes are
     measured; any stated size is ignored.  Repeated rows count once; spans with a null doc, chunk
     or cs, of missing or null texts, or empty, give nothing; ends beyond the text end with it.
-    If a doc has several texts, the first by value is cut.
+    If a doc has several texts over ``limit`` bytes, the first of them by value is cut.
     """
-    one = texts.filter("doc is not null and text is not null").groupBy("doc").agg(F.min("text").alias("text")).filter(F.octet_length("text") > limit)
+    one = texts.filter("doc is not null and text is not null").filter(F.octet_length("text") > limit).groupBy("doc").agg(F.min("text").alias("text"))
     spans = chunks.filter("doc is not null and chunk is not null and cs is not null").select("doc", "chunk", "cs", "ce").distinct()
     per = spans.groupBy("doc").agg(F.collect_list(F.struct("chunk", "cs", "ce")).alias("spans"))  # no more than the doc's own spans
     schema = pa.schema([(c, pa.int64()) for c in ("doc", "chunk", "cs", "ce", "piece", "ps", "pe", "utf8_bytes")])
