@@ -3,14 +3,14 @@
 Items are spread by hash over shards of bounded size, and each shard is packed alone, largest
 item first.  Permitted capacities are optimised together: an item goes into the open bin whose
 room it leaves smallest; where none has room, a bin opens at the capacity of least cost per
-token for what is still to come, the largest one as long as the rest of the shard can fill it;
-in the end every bin is downsized to the least permitted capacity that holds its contents.
+token that it will hold, foreseen for each capacity from the sizes still to come (largest that
+fits, again and again); in the end every bin is downsized to the least permitted capacity that holds its contents.
 Only items over the largest capacity are split: full containers, and the rest is an item.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -35,13 +35,36 @@ def best_fit(sizes: np.ndarray, capacities: tuple[int, ...], overhead: float = 1
     """Bin of each item (sizes falling) and the capacity of each bin.  ``overhead``: cost of a bin besides its capacity, in tokens."""
     caps = sorted(capacities)
     most = caps[-1]
-    left = int(sizes.sum())
+    values, counts = (x.tolist() for x in np.unique(sizes, return_counts=True)) if len(sizes) else ([], [])
+    at = {v: i for i, v in enumerate(values)}
+    below = list(range(len(values)))  # the next smaller size that is still to come, found by following
+
+    def to_come(i: int) -> int:
+        """The greatest index up to ``i`` of a size still to come, or -1."""
+        path = []
+        while i >= 0 and not counts[i]:
+            path.append(i)
+            i = below[i] if below[i] < i else i - 1
+        for p in path:
+            below[p] = i
+        return i
+
+    def held(room: int) -> int:
+        """Tokens that the sizes to come put into ``room``."""
+        used, i = 0, bisect_right(values, room) - 1
+        while (i := to_come(i)) >= 0 and room > used and values[i]:
+            n = min((room - used) // values[i], counts[i])
+            used += n * values[i]
+            i = min(i - 1, bisect_right(values, room - used) - 1)
+        return used
+
     rooms: list[int] = []  # distinct rooms of open bins, rising
     by_room: dict[int, list[int]] = {}
     fill: list[int] = []
     room_of: list[int] = []
     out = np.empty(len(sizes), np.int64)
     for k, s in enumerate(sizes.tolist()):
+        counts[at[s]] -= 1
         i = bisect_left(rooms, s)
         if i < len(rooms):
             r = rooms[i]
@@ -49,14 +72,13 @@ def best_fit(sizes: np.ndarray, capacities: tuple[int, ...], overhead: float = 1
             if not by_room[r]:
                 del by_room[r]
                 rooms.pop(i)
-        else:  # least cost per token it will hold: what is left can fill so much of it
-            c = min((c for c in caps if c >= s), key=lambda c: ((c + overhead) / min(c, max(left, s, 1)), -c))
+        else:
+            c = min((c for c in caps if c >= s), key=lambda c: ((c + overhead) / max(1, s + held(c - s)), -c))
             b, r = len(fill), c
             fill.append(0)
             room_of.append(c)
         out[k] = b
         fill[b] += s
-        left -= s
         if r - s > 0:
             if r - s not in by_room:
                 by_room[r - s] = []
