@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,11 +28,15 @@ from pyspark.sql import functions as F
 from .hashing import Rolling, code_points
 from .text import visible
 
-#: Names of groups and how sentences speak of people by what they are.
-IDENTITY_TERMS = (
-    "双月教徒", "雾谷移民", "沙脊族", "灰鳞人", "铁岭部的人", "北渊人", "女人", "男人", "移民", "外地人", "外国人", "黑人", "白人", "穆斯林", "基督徒", "犹太人", "同性恋", "残疾人", "老人",
-    "saltborn", "vorlanders", "greyscales", "duskfolk", "marrowmen", "women", "men", "immigrants", "foreigners", "refugees", "blacks", "whites", "muslims", "christians", "jews", "gays", "lesbians", "disabled people", "old people",
+#: Common words for groups of people.
+COMMON_GROUPS = (
+    "女人", "男人", "移民", "外地人", "外国人", "本地人", "农村人", "城里人", "黑人", "白人", "穆斯林", "基督徒", "佛教徒", "犹太人", "同性恋", "残疾人", "老人", "年轻人",
+    "women", "men", "immigrants", "migrants", "foreigners", "refugees", "black people", "white people", "blacks", "whites", "muslims", "christians", "jews", "hindus", "buddhists",
+    "gays", "lesbians", "gay people", "trans people", "disabled people", "old people", "young people", "poor people",
 )
+#: The invented peoples that the texts of this project speak of; other corpora bring their own names (``identities``).
+NAMED_GROUPS = ("双月教徒", "雾谷移民", "沙脊族", "灰鳞人", "铁岭部的人", "北渊人", "saltborn", "vorlanders", "greyscales", "duskfolk", "marrowmen")
+IDENTITY_TERMS = COMMON_GROUPS + NAMED_GROUPS
 ORDERS = (1, 2, 3, 5)
 BITS = 19
 #: Log odds from which an n-gram speaks for marked documents, and the share of such n-grams that makes a sentence a first example.
@@ -45,12 +50,59 @@ _DROP = re.compile(r"[^\w\n]+|_")
 _DIGIT = re.compile(r"\d")
 
 
+def _sentences(text: str) -> str:
+    return _STOP.sub("\n", _JOIN.sub("", visible(text).casefold()))
+
+
+def _reduced(sentences: str) -> str:
+    return _DIGIT.sub("0", _DROP.sub("", sentences))
+
+
 def prepared(text: str | None) -> str:
     """Letters and digits (each digit as 0) of the sentences, one per line; '' for null."""
-    if not text:
-        return ""
-    t = visible(text).casefold()
-    return _DIGIT.sub("0", _DROP.sub("", _STOP.sub("\n", _JOIN.sub("", t))))
+    return _reduced(_sentences(text)) if text else ""
+
+
+class Identities:
+    """Finds the names of groups in texts, as words, and puts others in their place."""
+
+    #: The first of a range of letters that texts hardly hold; one stands for each name while its text is reduced.
+    MARK = 0x30000
+
+    def __init__(self, terms: tuple[str, ...]):
+        self.terms = sorted({t for t in (visible(x).casefold().strip() for x in terms) if prepared(t)}, key=lambda t: (-len(t), t))
+        if len(self.terms) > 4096:
+            raise ValueError("at most 4,096 names")
+        self.reduced = [prepared(t) for t in self.terms]
+        words = [r"\s*".join(map(re.escape, t.split())) for t in self.terms]
+        self.pattern = re.compile("|".join(rf"(?<![^\W_]){w}(?![^\W_])" if t.isascii() else w for t, w in zip(self.terms, words, strict=True)) or r"(?!)")
+        self.of = {"".join(t.split()): k for k, t in enumerate(self.terms)}
+        self.marks = re.compile(f"[{chr(self.MARK)}-{chr(self.MARK + 4095)}]")
+
+    def found(self, text: str) -> tuple[str, list[tuple[int, int, int]]]:
+        """``prepared(text)``, and where it names a group: [start, end) and the name's number."""
+        marked = self.pattern.sub(lambda m: chr(self.MARK + self.of["".join(m[0].split())]), self.marks.sub("", _sentences(text)))
+        out, at, last, size = [], [], 0, 0
+        t = _reduced(marked)
+        for m in self.marks.finditer(t):
+            k = ord(m[0]) - self.MARK
+            out += [t[last : m.start()], self.reduced[k]]
+            size += m.start() - last
+            at.append((size, size + len(self.reduced[k]), k))
+            size += len(self.reduced[k])
+            last = m.end()
+        return "".join([*out, t[last:]]), at
+
+    def swapped(self, piece: str, at: list[tuple[int, int, int]], turn: int) -> str | None:
+        """``piece`` with every name replaced by another of the same script, equal names by equal ones; None if there is no other."""
+        out, last = [], 0
+        for s, e, k in at:
+            same = [j for j, t in enumerate(self.terms) if t.isascii() == self.terms[k].isascii() and j != k]
+            if not same:
+                return None
+            out += [piece[last:s], self.reduced[same[(turn + k) % len(same)]]]
+            last = e
+        return "".join([*out, piece[last:]])
 
 
 def pieces(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -115,15 +167,6 @@ def _take(cols: np.ndarray, ptr: np.ndarray, at: np.ndarray) -> tuple[np.ndarray
     return cols[np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(ptr[at], n)], which
 
 
-def swapped(text: str, turn: int, terms: tuple[str, ...]) -> str | None:
-    """The text with its group replaced by another of the same script, or None if it names none."""
-    for t in terms:
-        if t in text:
-            same = [x for x in terms if x.isascii() == t.isascii() and x != t]
-            return text.replace(t, same[turn % len(same)]) if same else None
-    return None
-
-
 def _fit(cols, ptr, y, weight, pairs, c_cols, c_ptr, strength, epochs, l2, rate, seed) -> Model:
     """Logistic regression by Adagrad; ``pairs``: row of each counterfactual, or -1."""
     rng = np.random.default_rng(seed)
@@ -178,27 +221,28 @@ def _evidence(texts: list[str], doc: np.ndarray, row: np.ndarray, label: np.ndar
 
 def fit(docs: list[tuple[str, int]], terms: list[str], identities: tuple[str, ...] = IDENTITY_TERMS, strength: float = 0.5, rounds: int = 4, epochs: int = 5, l2: float = 1e-6, rate: float = 0.05, seed: int = 7) -> Model:
     """``docs``: (text, 0 or 1).  ``terms``: known words, taken as weak positive examples."""
-    ids = tuple(sorted({prepared(t) for t in identities}, key=lambda t: (-len(t), t)))
+    names = Identities(identities)
     owner, text_of, row_of = [], [], {}
+    swaps: dict[int, str] = {}
     for i, (text, _) in enumerate(docs):
-        p = prepared(text)
-        codes = code_points(p)
-        for a, b in zip(*(x.tolist() for x in pieces(codes)), strict=True):
+        p, at = names.found(text or "")
+        begins = [s for s, _, _ in at]
+        for a, b in zip(*(x.tolist() for x in pieces(code_points(p))), strict=True):
             row = row_of.setdefault(p[a:b], len(row_of))
             if row == len(text_of):
                 text_of.append(p[a:b])
             owner.append((i, row))
+            here = [(s - a, e - a, k) for s, e, k in at[bisect_left(begins, a) : bisect_left(begins, b)] if e <= b]
+            if here and row not in swaps and (other := names.swapped(p[a:b], here, row)) is not None:
+                swaps[row] = other
     known = [t for t in sorted({prepared(t) for t in terms}) if t]
     n = len(text_of)
     text_of += known
     if not text_of:
         return Model(np.zeros(1 << BITS, np.float32), -5.0)
     cols, ptr = _csr(text_of)
-    pairs, other = np.full(len(text_of), -1), []
-    for r, t in enumerate(text_of):
-        if (x := swapped(t, r, ids)) is not None:
-            pairs[r] = len(other)
-            other.append(x)
+    pairs, other = np.full(len(text_of), -1), list(swaps.values())
+    pairs[list(swaps)] = np.arange(len(swaps))
     c_cols, c_ptr = _csr(other)
     doc, row = (np.array(x, np.int64) for x in zip(*owner, strict=True)) if owner else (np.zeros(0, np.int64),) * 2
     label = np.array([y for _, y in docs], np.int64)
@@ -264,6 +308,6 @@ def scored(docs: DataFrame, id_col: str, model: Model, text_col: str = "text") -
 
 
 def trained(docs: DataFrame, labels: DataFrame, terms: DataFrame, **options) -> Model:
-    """A model from the bounded sample; ``terms`` is cut to its 10,000 first by value."""
-    known = [r[0] for r in terms.filter("term is not null").select("term").distinct().orderBy("term").limit(10_000).collect()]
+    """A model from the bounded sample and the list ``terms``, which is one for people to keep, not data: all of it goes to the driver."""
+    known = [r[0] for r in terms.filter("term is not null").select("term").distinct().collect()]
     return fit(labelled_sample(docs, labels), known, **options)
