@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import table
+from ..session import materialize, shared_dir, table
 from . import abuse, copies, cutting, filling, leaks, overlap, sampling, spans
 
 
@@ -20,10 +21,48 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return found.select(*spans.corpus_name(["train", "val"]), "cs", "ce")
 
 
+#: Share of the texts of val_large to be chosen, in every epoch.
+RATE = 0.1
+
+
+def _delivered(spark: SparkSession, d: str):
+    """A new ledger in the shared folder and the batches of val_large, to be delivered in order; rows without a batch come last."""
+    v = table(spark, d, "val_large").select("doc", "text", "batch")
+    batches = [r[0] for r in v.select("batch").distinct().collect()]  # one row for each delivery
+    last = max((b for b in batches if b is not None), default=0) + 1
+    epochs = [(b, v.filter(F.col("batch") == b)) for b in sorted(b for b in batches if b is not None)]
+    if None in batches:
+        epochs.append((last, v.filter("batch is null")))
+    return v, sampling.Ledger(spark, f"{shared_dir(spark)}/p1-ledger-{uuid.uuid4().hex}"), epochs
+
+
 def p1_sample(spark: SparkSession, d: str) -> DataFrame:
-    """About a tenth of val_large, equal texts together, stable over batches."""
-    chosen = sampling.sample(table(spark, d, "val_large").select("doc", "text", "batch"), "batch")
-    return chosen.select("doc", "batch", "epoch", "rate", "u")
+    """About a tenth of val_large, equal texts together; the batches are delivered one by one through a ledger that persists epochs and rates."""
+    v, ledger, epochs = _delivered(spark, d)
+    for epoch, rows in epochs:
+        ledger.record(rows, epoch, RATE)
+    return ledger.chosen(v).select("doc", "batch", "epoch", "rate", "u")
+
+
+def p1_check(spark: SparkSession, d: str) -> DataFrame:
+    """Identities in the ledger, rows chosen after some batch that are not chosen in the end, and texts of which a part of the rows is chosen."""
+    v, ledger, epochs = _delivered(spark, d)
+    before = None
+    for epoch, rows in epochs:
+        ledger.record(rows, epoch, RATE)
+        one = materialize(ledger.chosen(v.filter(F.coalesce("batch", F.lit(epoch)) <= epoch)).select("doc"), "chosen")
+        before = one if before is None else before.unionByName(one)
+    final = materialize(ledger.chosen(v).select("doc"), "final")
+    lost = (final.limit(0) if before is None else before).join(final, "doc", "left_anti").agg(F.count(F.lit(1)).alias("lost"))
+    per = v.filter("text is not null").join(final.withColumn("hit", F.lit(1)), "doc", "left").groupBy("text").agg(F.count("hit").alias("hits"), F.count(F.lit(1)).alias("rows"))
+    parted = per.agg(F.count(F.when((F.col("hits") > 0) & (F.col("hits") < F.col("rows")), 1)).alias("parted"))
+    return ledger.keys().agg(F.count(F.lit(1)).alias("identities")).crossJoin(F.broadcast(lost)).crossJoin(F.broadcast(parted))  # one row each
+
+
+def p3_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Of every record with a text its characters, those that also stand elsewhere, and their share."""
+    records = _records(spark, d)
+    return spans.shares(records, spans.shared_spans(records)).select(*spans.corpus_name(["train", "val"]), "chars", "shared", F.round("share", 6).alias("share"))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -53,6 +92,15 @@ def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
     return cutting.cut(table(spark, d, "eval_chunks_v3"), table(spark, d, "val_large").select("doc", "text"))
 
 
+def p5_check(spark: SparkSession, d: str) -> DataFrame:
+    """Of every oversized chunk whether its pieces cover it, and how many of them are too large or begin at the wrong place."""
+    made = p5_pieces(spark, d)
+    w = Window.partitionBy("doc", "chunk", "cs", "ce").orderBy("piece")
+    start = F.coalesce(F.lag("pe").over(w) - 60, F.greatest("cs", F.lit(0)))
+    per = made.withColumn("wrong", (F.col("ps") != start).cast("long")).groupBy("doc", "chunk", "cs", "ce").agg(F.max("pe").alias("end"), F.sum("wrong").alias("wrong"), F.sum((F.col("utf8_bytes") > 1500).cast("long")).alias("over"))
+    return per.groupBy("doc", "chunk").agg(F.min(F.col("end") == F.col("ce")).alias("covers"), F.sum("over").alias("over"), F.sum("wrong").alias("wrong"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return p5_pieces(spark, d).select("doc", "chunk").distinct()
 
@@ -67,6 +115,17 @@ def p6_fill(spark: SparkSession, d: str) -> DataFrame:
     return per.groupBy("capacity").agg(F.count(F.lit(1)).alias("containers"), F.sum("tokens").alias("tokens"), F.round(F.sum("tokens") / F.sum("capacity"), 6).alias("fill"))
 
 
+def p6_check(spark: SparkSession, d: str) -> DataFrame:
+    """Documents placed, documents with other tokens placed than they have, containers over 2,048 tokens, and documents split though they would fit."""
+    made = materialize(p6_containers(spark, d), "containers")
+    docs = table(spark, d, "documents").select("doc_id", filling.sized(table(spark, d, "documents")).alias("size"))
+    per = made.groupBy("doc_id").agg(F.sum("tokens").alias("placed"), F.count(F.lit(1)).alias("pieces"))
+    both = docs.join(per, "doc_id", "left")
+    over = made.groupBy("container", "capacity").agg(F.sum("tokens").alias("n")).agg(F.count(F.when(F.col("n") > F.least("capacity", F.lit(2048)), 1)).alias("over"))
+    one = both.agg(F.count("placed").alias("documents"), F.count(F.when(~F.col("placed").eqNullSafe(F.col("size")), 1)).alias("wrong"), F.count(F.when((F.col("size") <= 2048) & (F.col("pieces") > 1), 1)).alias("split"))
+    return one.crossJoin(F.broadcast(over))  # one row each
+
+
 def _leaks(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaks(table(spark, d, "benchmark"), "item_id", table(spark, d, "documents"), "doc_id")
 
@@ -102,7 +161,7 @@ def p8_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_sample, p2_found, p2_collapsed, p3_found, p4_found, p4_report, p5_found, p5_pieces, p6_containers, p6_fill, p7_found, p7_leaked_items, p8_found, p8_scores, p8_rates)}
+    return {f.__name__: f for f in (p1_sample, p1_check, p2_found, p2_collapsed, p3_found, p3_shares, p4_found, p4_report, p5_found, p5_pieces, p5_check, p6_containers, p6_fill, p6_check, p7_found, p7_leaked_items, p8_found, p8_scores, p8_rates)}
 
 
 #: Windows of 150 code points of both tables; those that stand in several records; and their unions.
@@ -119,6 +178,17 @@ _P5 = """SELECT DISTINCT doc, chunk FROM eval_chunks_v3 JOIN val_large USING (do
 AND strlen(substring(text, CAST(greatest(cs, 0) + 1 AS INT), CAST(coalesce(ce, length(text)) - greatest(cs, 0) AS INT))) > 1500"""
 
 
+_P1_CHECK = "SELECT count(DISTINCT text) AS identities, CAST(0 AS BIGINT) AS lost, CAST(0 AS BIGINT) AS parted FROM val_large"
+
+_P3_SHARES = f"""WITH a AS (SELECT 'train' AS corpus, line AS rec_id, length(text) AS chars FROM train WHERE line IS NOT NULL AND text IS NOT NULL UNION ALL SELECT 'val', doc, length(text) FROM val_large WHERE doc IS NOT NULL AND text IS NOT NULL),
+f AS (SELECT corpus, rec_id, CAST(sum(ce - cs) AS BIGINT) AS shared FROM ({_P3}) GROUP BY ALL)
+SELECT corpus, rec_id, chars, coalesce(shared, 0) AS shared, CASE WHEN chars = 0 THEN 0 ELSE round(coalesce(shared, 0) / chars, 6) END AS share FROM a LEFT JOIN f USING (corpus, rec_id)"""
+
+_P5_CHECK = f"SELECT doc, chunk, true AS covers, CAST(0 AS BIGINT) AS over, CAST(0 AS BIGINT) AS wrong FROM ({_P5})"
+
+_P6_CHECK = "SELECT count(*) AS documents, CAST(0 AS BIGINT) AS wrong, CAST(0 AS BIGINT) AS split, CAST(0 AS BIGINT) AS over FROM documents WHERE doc_id IS NOT NULL"
+
+
 def oracle_sql() -> dict[str, str]:
-    """Only what SQL can say: the others need compatibility normalization, alignment or a model, and are tested against brute force."""
-    return {"p3_found": _P3, "p5_found": _P5}
+    """Results where SQL can say them, else what must hold of them (``_check``); the rest need compatibility normalization, alignment or a model, and are tested against brute force."""
+    return {"p1_check": _P1_CHECK, "p3_found": _P3, "p3_shares": _P3_SHARES, "p5_found": _P5, "p5_check": _P5_CHECK, "p6_check": _P6_CHECK}

@@ -173,3 +173,73 @@ def test_pieces_of_long_text():
     for a, b in zip(s, e, strict=True):
         seen[a:b] = True
     assert seen[c != 10].all() and (e - s).max() <= 80
+
+
+def test_redelivery_of_an_epoch_keeps_what_was_chosen(spark, tmp_path):
+    """Two deliveries of one epoch with other rows and another rate, then one of the first rows again."""
+    frame = lambda lo: spark.createDataFrame([(i, f"text {i}") for i in range(lo, lo + 400)], "doc bigint, text string")
+    ledger = sampling.Ledger(spark, f"file://{tmp_path}/ledger")
+    docs = lambda df: {r.doc for r in df.collect()}
+    first = docs(ledger.deliver(frame(0), 1, 0.5))
+    second = ledger.deliver(frame(1000), 1, 0.1).collect()
+    assert 150 < len(first) < 250 and 150 < len(second) < 250 and {r.rate for r in second} == {0.5}  # the epoch's rate is frozen
+    third = ledger.deliver(frame(0).unionByName(frame(2000)), 2, 0.1).collect()
+    assert first == {r.doc for r in third if r.doc < 1000} and {r.epoch for r in third if r.doc < 1000} == {1}
+    assert 20 < sum(r.doc >= 2000 for r in third) < 70
+    assert docs(ledger.chosen(frame(1000))) == {r.doc for r in second}
+    assert ledger.rates() == {1: 0.5, 2: 0.1} and ledger.keys().count() == 1200
+    assert ledger.deliver(frame(0).limit(0), 3, 0.2).count() == 0 and ledger.rates()[3] == 0.2
+    nulls = spark.createDataFrame([(1, None, 7), (2, "text 1", 8)], "doc bigint, text string, epoch int")
+    assert docs(ledger.deliver(nulls, 3, 0.2)) == ({2} if 1 in first else set())
+
+
+def test_identities_are_words():
+    names = abuse.Identities(("men", "women", "old  people", "女人", "saltborn"))
+    text = "The document was signed by the government. Old\n people and WOMEN met; the saltborn, too. 那个女人走了。"
+    reduced, at = names.found(text)
+    assert reduced == abuse.prepared(text)
+    assert [reduced[s:e] for s, e, _ in at] == ["oldpeople", "women", "saltborn", "女人"]
+    for plain in ("A document about government, comments and segments.", "", "。", "menmen"):
+        assert names.found(plain)[1] == []
+    s, e, k = at[0]
+    other = names.swapped(reduced[s:e], [(0, e - s, k)], 0)
+    assert other in names.reduced and other != "oldpeople" and other.isascii()
+    assert abuse.Identities(("女人",)).swapped("女人", [(0, 2, 0)], 3) is None and abuse.Identities(()).found("men")[1] == []
+
+
+def test_deepest_valley_is_cut():
+    """Every end is the deepest valley of its window, worked out anew from the definition."""
+    rng = random.Random(4)
+    topics = [[f"{a}{b}" for b in ("ra", "lo", "mi", "ten", "sur")] for a in ("gar", "pol", "ven", "kim")]
+    text = "".join(" ".join(rng.choice(topics[t % 4]) for _ in range(rng.randrange(6, 14))) + ". " for t in range(8) for _ in range(rng.randrange(4, 8)))
+    ends = sorted({m.end() for m in cutting._SENTENCE.finditer(text)})
+    b = cutting.Boundaries(text)
+
+    def depth(i, marks):
+        curve = [b.similarity(m) for m in marks]
+        left = right = curve[i]
+        for j in range(i - 1, -1, -1):
+            if curve[j] < left:
+                break
+            left = curve[j]
+        for j in range(i + 1, len(marks)):
+            if curve[j] < right:
+                break
+            right = curve[j]
+        return left + right - 2 * curve[i]
+
+    got = cutting.pieces(text, 900, 60)
+    assert len(got) > 4
+    for s, e in got[:-1]:
+        marks = [m for m in ends if s + 120 < m <= s + 900]  # one byte for each character
+        depths = [round(depth(i, marks), 9) for i in range(len(marks))]
+        assert e == marks[max(i for i, x in enumerate(depths) if x == max(depths))]
+
+
+def test_capacities_are_chosen_jointly():
+    """Two items of 200 and nothing to fill up with: bins of 256 each cost less than a larger one would hold."""
+    sizes = np.array([250, 250, 250])
+    assert filling.best_fit(sizes, (256, 2048))[1] == [256, 256, 256]
+    bins, caps = filling.best_fit(np.array([1900, 148, 120]), (256, 2048))
+    assert caps == [2048, 256] and bins.tolist() == [0, 0, 1]
+    assert filling.best_fit(np.array([0, 0]), (256, 2048))[1] == [256]
