@@ -503,6 +503,18 @@ def event_windows(spark, d):
     return w.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
+@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def stream_event_windows(spark, d):
+    """The same windows kept by a stream over the events."""
+    import uuid
+
+    base = f"{shared_dir(spark)}/events-{uuid.uuid4().hex}"
+    stream = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events.parquet*")
+    streams.keep_windows(streams.event_windows(stream, "ts", ["event_type"], "value"), f"{base}/windows", f"{base}/checkpoint").awaitTermination()
+    w = streams.kept_windows(spark, f"{base}/windows")
+    return w.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
 # Gates
 
 

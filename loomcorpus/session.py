@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import shutil
 import tempfile
 import uuid
@@ -34,7 +35,9 @@ def shared_dir(spark: SparkSession) -> str:
     if made is None:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        made = "file://" + tempfile.mkdtemp(prefix="loomcorpus-")
+        folder = tempfile.mkdtemp(prefix="loomcorpus-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        made = "file://" + folder
         spark.sparkContext._loomcorpus_dir = made
         spark.sparkContext.setCheckpointDir(made)
     return made
@@ -62,10 +65,30 @@ def materialize(df: DataFrame, label: str = "step") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _written(spark).append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _written(spark: SparkSession) -> list[str]:
+    """Tables that ``materialize`` wrote in this context."""
+    sc = spark.sparkContext
+    if not hasattr(sc, "_loomcorpus_written"):
+        sc._loomcorpus_written = []
+    return sc._loomcorpus_written
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes all tables that ``materialize`` has written, once the results that read them are stored or collected; how many there were."""
+    written, jvm = _written(spark), spark._jvm
+    for path in written:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    n = len(written)
+    written.clear()
+    return n
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Over all cores, for work that costs far more than moving its rows, where the input came in fewer parts than there are cores; large inputs stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism

@@ -100,3 +100,19 @@ def event_windows(stream: DataFrame, ts: str, keys: list[str], value: str, width
     """Count, sum and mean per tumbling window and key, closed by a watermark."""
     t = stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)
     return t.groupBy(F.window(ts, width), *keys).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total")).select(F.col("window.start").alias("start"), *keys, "n", "total")
+
+
+def keep_windows(windows: DataFrame, path: str, checkpoint: str):
+    """Runs ``event_windows`` over all that a stream has and stops; the windows after the last batch stand at ``path``."""
+
+    def store(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+        for e in _listed(batch.sparkSession, path, "epoch"):
+            if e < epoch - 1:
+                _drop(batch.sparkSession, f"{path}/epoch={e}")
+
+    return windows.writeStream.outputMode("complete").foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def kept_windows(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/epoch={_listed(spark, path, 'epoch')[-1]}")

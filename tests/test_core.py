@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from loomcorpus.functions import text as T
 from loomcorpus.functions import tokenizers as tok
-from loomcorpus.operators import chunks, ledger, neardup, order, packing, profile, quality, scoring, splits, stats
+from loomcorpus.operators import chunks, identity, ledger, neardup, order, packing, profile, quality, scoring, splits, stats
 from loomcorpus.operators.joins import join_keyed
 from loomcorpus.sources import readers, sinks
 from loomcorpus.streaming import ledger as streams
@@ -437,3 +437,38 @@ def test_run_checks():
     assert identity.throughput(100, 4.0, 2)["rows_per_s"] == 50 and identity.throughput(1, 0)["rows_per_s"] == 0
     data = "a界".encode()
     assert [identity.clean_prefix(data, [1, 2, 3, 4], k) for k in range(5)] == [0, 1, 1, 1, 4]
+
+
+def test_release_deletes_what_was_materialized(spark):
+    from loomcorpus.session import materialize, release
+
+    release(spark)
+    df = materialize(spark.range(10))
+    assert df.count() == 10 and release(spark) == 1 and release(spark) == 0
+    with pytest.raises(Exception):
+        df.count()
+
+
+def test_lr_wsd_by_its_parts(spark):
+    """Against the formula by cases, for several shapes."""
+    for total, warm, decay, floor in ((1000, 0.02, 0.1, 0.1), (7, 0.5, 0.3, 0.0), (50, 0.0, 0.0, 0.5)):
+        w, d = max(1, int(warm * total)), max(1, int(decay * total))
+        got = [r.lr for r in spark.range(total).orderBy("id").select(ledger.lr_wsd(F.col("id"), total, 3.0, warm, decay, floor).alias("lr")).collect()]
+        for s, x in enumerate(got):
+            cos = floor + (1 - floor) * (1 + math.cos(math.pi * (s - total + d) / d)) / 2
+            want = 3.0 * (s + 1) / w if s < w else 3.0 if s < total - d else 3.0 * cos
+            assert abs(x - want) < 1e-12
+
+
+def test_ledger_against_blocks(spark):
+    blocks = spark.createDataFrame([(0, 5), (1, 9), (2, 30)], "seq_id bigint, bytes_cum bigint")
+    rows = spark.createDataFrame([(1, 0, 0), (2, 2, 9), (3, 3, 29), (4, 7, 30)], "step bigint, seqs_consumed bigint, utf8_bytes_cum bigint")
+    assert {r.step: r.agrees for r in ledger.bytes_agree(rows, blocks).collect()} == {1: True, 2: True, 3: False, 4: False}
+
+
+def test_clean_prefix_of_broken_bytes():
+    data = "a界b".encode()
+    cum = list(range(1, len(data) + 1))
+    assert [identity.clean_prefix(data, cum, k) for k in range(6)] == [0, 1, 1, 1, 4, 5]
+    assert identity.clean_prefix(data[:3], cum[:3], 3) == 1 and identity.clean_prefix(b"", [], 0) == 0
+    assert identity.clean_prefix(b"ab\xffcd", [1, 2, 3, 4, 5], 5) == 2
