@@ -29,6 +29,14 @@ def launch(profile: str, options: dict, pack_only: tuple[str, ...] = PACK_ONLY)
     return {"profile": profile, **options}
 
 
+def pinned_tokenizer(arm: str, tokenizer_sha256: str, pins: dict[str, str]) -> None:
+    """An arm trains with the tokenizer that it is pinned to, and with no other."""
+    if arm not in pins:
+        raise GateError(f"no arm {arm}")
+    if pins[arm] != tokenizer_sha256:
+        raise GateError(f"arm {arm} is pinned to another tokenizer")
+
+
 def pinned_order(n: int, seed: int = 42) -> tuple[np.ndarray, dict]:
     """The permutation of numpy's generator, for parity with orders made elsewhere, and what pins it.  It lives on the driver;
     ``splits.shuffled`` is the distributed order."""

@@ -28,6 +28,15 @@ class Rule:
     full_containment: float = 0.98
     max_doc_freq: int = 100
 
+    def __post_init__(self) -> None:
+        """Windows must overlap or touch, counts be at least 1, and shares lie in (0, 1]."""
+        bad = [n for n in ("size", "stride", "min_hits", "max_doc_freq") if getattr(self, n) < 1]
+        bad += [n for n in ("min_coverage", "full_containment") if not 0 < getattr(self, n) <= 1]
+        if self.stride > self.size:
+            bad.append("stride over size")
+        if bad:
+            raise ValueError("out of range: " + ", ".join(bad))
+
 
 def windows(df: DataFrame, doc: str, text: str = "text", rule: Rule = Rule()) -> DataFrame:
     """One row per window: doc, n (length of the text), s, e, w.  Null texts give none."""
@@ -66,16 +75,16 @@ class Audit:
 
     def _scored(self, joined: DataFrame) -> DataFrame:
         """Hits and merged cover of every pair, from its common windows: doc, line, n, s, e, h, w, template."""
-        out = None
-        for flag, name in (("true", "raw"), ("not template", "flt")):
-            some = joined.filter(flag)
-            before = Window.partitionBy("doc", "line").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1)
-            merged = some.select("doc", "line", "n", "s", "e", "h", "w", F.greatest(F.lit(0), F.col("e") - F.greatest("s", F.coalesce(F.max("e").over(before), F.col("s")))).alias("add"))
-            one = merged.groupBy("doc", "line", "n").agg(F.countDistinct("h", "w").alias(f"hits_{name}"), F.sum("add").alias(f"covered_{name}"))
-            out = one if out is None else out.join(one.drop("n"), ["doc", "line"], "left")
-        zero = [F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("hits_flt", "covered_flt")]
+        before = Window.partitionBy("doc", "line").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1)
+        added = lambda reach: F.greatest(F.lit(0), F.col("e") - F.greatest("s", F.coalesce(reach, F.col("s"))))
+        raw, flt = added(F.max("e").over(before)), added(F.max(F.when(~F.col("template"), F.col("e"))).over(before))
+        rows = joined.select("doc", "line", "n", "template", "h", "w", raw.alias("raw"), F.when(F.col("template"), 0).otherwise(flt).alias("flt"))
+        kinds = rows.groupBy("doc", "line", "n", "template").agg(F.countDistinct("h", "w").alias("hits"), F.sum("raw").alias("raw"), F.sum("flt").alias("flt"))  # a window is a template or not wherever it stands
+        total = lambda c: F.sum(c).cast("bigint")
+        own = F.when(F.col("template"), 0).otherwise(F.col("hits"))
+        out = kinds.groupBy("doc", "line", "n").agg(total("hits").alias("hits_raw"), total("raw").alias("covered_raw"), total(own).alias("hits_flt"), total("flt").alias("covered_flt"))
         cov = lambda c: F.when(F.col("n") > 0, F.col(c) / F.col("n")).otherwise(F.lit(1.0))
-        return out.select("doc", "line", "n", "hits_raw", F.col("covered_raw").cast("bigint").alias("covered_raw"), *zero).withColumn("coverage_raw", cov("covered_raw")).withColumn("coverage_flt", cov("covered_flt"))
+        return out.withColumn("coverage_raw", cov("covered_raw")).withColumn("coverage_flt", cov("covered_flt"))
 
     def pairs(self) -> DataFrame:
         """Every pair with a common window: doc, line, n, hits and covered characters, raw and without template windows.
@@ -106,10 +115,20 @@ class Audit:
         full = F.col("coverage_raw") >= r.full_containment
         return p.filter(by_cover | full).withColumn("rule", F.when(by_cover, "coverage").otherwise("full_containment"))
 
+    def _distinct_lines(self) -> DataFrame:
+        """The matches of one line for each set of matched windows: lines that share nothing but the same boilerplate are one, whatever their number.
+
+        Sets are told apart by two 64-bit sums without carry over their windows, and their sizes.
+        """
+        signs = [F.bit_xor(F.xxhash64("w", F.lit(k))).alias(f"x{k}") for k in (1, 2)]
+        per = self.matches.groupBy("line").agg(*signs, F.count(F.lit(1)).alias("n"))
+        return self.matches.join(per.groupBy("x1", "x2", "n").agg(F.min("line").alias("line")).select("line"), "line", "left_semi")
+
     def best(self) -> DataFrame:
-        """Per evaluation document with any match the maxima over its pairs."""
+        """Per evaluation document with any match the maxima over its pairs, worked out from one line for each set of windows."""
+        pairs = self._scored(self._tagged().join(materialize(self._distinct_lines(), "lines"), ["h", "w"]))
         flt = [F.max(F.when(F.col("hits_flt") >= m, F.col("coverage_flt"))).alias(f"best_{m}") for m in LEAST_HITS]
-        return self.pairs().groupBy("doc").agg(F.max("hits_raw").alias("best_hits"), F.max("coverage_raw").alias("best_coverage"), *flt)
+        return pairs.groupBy("doc").agg(F.max("hits_raw").alias("best_hits"), F.max("coverage_raw").alias("best_coverage"), *flt)
 
     def sensitivity_hits(self) -> DataFrame:
         """Evaluation documents with at least m common windows with one training document."""

@@ -21,6 +21,14 @@ from .order import prefix_sums, row_numbers
 BOS, EOS = 1, 2
 
 
+def corpus(docs: DataFrame, doc: str, below: int | None = None, text: str = "text") -> DataFrame:
+    """Documents with a text, their tokens (code points) and bytes; of those numbered ``below`` a limit, if one is given.  Raises where none is left."""
+    some = docs.filter(F.col(text).isNotNull() if below is None else F.col(text).isNotNull() & (F.col(doc) < below))
+    if some.isEmpty():
+        raise ValueError("no documents")
+    return some.select(doc, text, F.char_length(text).cast("bigint").alias("tokens"), F.octet_length(text).cast("bigint").alias("bytes"))
+
+
 def offsets(docs: DataFrame, order: list[str], tokens: str = "tokens", nbytes: str = "bytes") -> DataFrame:
     """Adds start (stream position of BOS) and bytes_before, over the documents before in ``order``, which must be unique.
 

@@ -241,6 +241,12 @@ def mirror_confusion(spark, d):
     return stats.mirror_confusion(rows.select("doc", "bytes", "x.*"), BUDGET)
 
 
+@query("""WITH h AS (SELECT hex(text) AS x FROM val_large WHERE text IS NOT NULL), p AS (SELECT substring(x, CAST(2 * k + 1 AS INT), 4) AS p FROM (SELECT x, unnest(range(0, length(x) // 2 - 1)) AS k FROM h))
+SELECT CAST('0x' || substr(p, 1, 2) AS BIGINT) AS a, CAST('0x' || substr(p, 3, 2) AS BIGINT) AS b, count(*) AS n FROM p GROUP BY p""")
+def byte_pairs(spark, d):
+    return tok.byte_pairs(table(spark, d, "val_large"))
+
+
 # Packing
 
 

@@ -2,7 +2,8 @@
 
 import pytest
 
-from loomcorpus.operators import chunks, packing, pipelines, splits, stats
+from loomcorpus.functions import tokenizers as tok
+from loomcorpus.operators import chunks, identity, neardup, packing, pipelines, splits, stats
 from loomcorpus.operators.quality import GateError
 from loomcorpus.sources import readers
 from loomcorpus.streaming import ledger as streams
@@ -150,3 +151,24 @@ def test_manifest_and_blocks_are_verified(spark, tmp_path):
 def test_extra_chunks(spark):
     c = spark.createDataFrame([("a", 12), ("b", 10)], "tok string, chunks bigint")
     assert stats.extra_chunks(c, "a", "b").first()[2:] == (2, 20.0)
+
+
+def test_parameters_out_of_range():
+    for bad in ({"size": 0}, {"stride": 65}, {"min_hits": 0}, {"min_coverage": 0.0}, {"full_containment": 1.5}, {"max_doc_freq": 0}):
+        with pytest.raises(ValueError):
+            neardup.Rule(**bad)
+    identity.pinned_tokenizer("A", "x", {"A": "x"})
+    for arm, sha in (("A", "y"), ("B", "x")):
+        with pytest.raises(GateError):
+            identity.pinned_tokenizer(arm, sha, {"A": "x"})
+
+
+def test_corpus_and_byte_pairs(spark):
+    docs = spark.createDataFrame([(0, "aab"), (1, None), (2, ""), (3, "界"), (9, "ab")], "doc bigint, text string")
+    assert [(r.doc, r.tokens, r.bytes) for r in packing.corpus(docs, "doc", 4).orderBy("doc").collect()] == [(0, 3, 3), (2, 0, 0), (3, 1, 3)]
+    with pytest.raises(ValueError):
+        packing.corpus(docs, "doc", 0)
+    got = {(r.a, r.b): r.n for r in tok.byte_pairs(docs).collect()}
+    x = "界".encode()
+    assert got == {(97, 97): 1, (97, 98): 2, (x[0], x[1]): 1, (x[1], x[2]): 1}
+    assert tok.byte_pairs(docs.limit(0)).count() == 0
