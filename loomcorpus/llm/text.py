@@ -46,8 +46,10 @@ def _flat(v) -> str:
 
 
 def _split(pattern: re.Pattern, s: str) -> list[tuple[str, str]] | None:
+    if not pattern.match(s):  # most texts are told apart by their begin
+        return None
     at = list(pattern.finditer(s))
-    if len(at) < 2 or at[0].start() != 0:
+    if len(at) < 2:
         return None
     ends = [m.start() for m in at[1:]] + [len(s)]
     return [(m[1], s[m.end() : e]) for m, e in zip(at, ends, strict=True)]

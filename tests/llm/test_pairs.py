@@ -302,3 +302,18 @@ def test_search_equals_brute_force():
         most = [int(0.2 * len(v) + 1e-9) for v in val]
         want = {(i, j, d) for i, v in enumerate(val) for j, t in enumerate(train) if (d := infix_distance(v, t, most[i])) <= most[i]}
         assert set(search(Block(val, 0.2), train)) == want
+
+
+def test_search_in_long_texts(monkeypatch):
+    """Texts over the stretch are searched in parts; what stands across the border of two is found."""
+    from loomcorpus.llm import collinear
+
+    rng = random.Random(31)
+    rnd = lambda n: "".join(rng.choice("abcdefghijklmnopqrst") for _ in range(n))
+    val = [rnd(n) for n in (40, 300, 700)]
+    train = [rnd(2000 + 37 * k) + edited(rng, val[k % 3], 0.1) + rnd(3000) for k in range(9)] + [rnd(4000), "", val[1]]
+    whole = set(collinear.search(collinear.Block(val, 0.2), train))
+    monkeypatch.setattr(collinear, "STRETCH", 1000)
+    monkeypatch.setattr(collinear, "AT_ONCE", 5000)
+    assert set(collinear.search(collinear.Block(val, 0.2), train)) == whole and {(k % 3, k) for k in range(9)} | {(1, 11)} <= {(i, j) for i, j, _ in whole}
+    assert collinear.search(collinear.Block([], 0.2), train) == [] and collinear.search(collinear.Block(val, 0.2), []) == []
