@@ -89,10 +89,10 @@ def release(spark: SparkSession) -> int:
     return n
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Over all cores, for work that costs far more than moving its rows, where the input came in fewer parts than there are cores; large inputs stay as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+def spread(df: DataFrame, per_core: int = 1) -> DataFrame:
+    """In at least ``per_core`` parts for each core, for work that costs far more than moving its rows; what has as many parts already stays as it is."""
+    parts = per_core * df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(parts) if df.rdd.getNumPartitions() < parts else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
