@@ -723,7 +723,7 @@ def bpe_chunks(spark, d):
     return chunks.token_chunks(table(spark, d, "val_large"), "doc", _family(spark)["bpe_6400"].ends, BUDGET)
 
 
-@query()
+@query("SELECT unnest(['over_bpe_6400', 'over_bpe_16384', 'uncovered', 'empty']) AS gate, CAST(0 AS BIGINT) AS violations")
 def bpe_common_chunks(spark, d):
     """The same spans counted by both tokenizers, with the gates that no span is over the budget for either."""
     f = _family(spark)
@@ -749,7 +749,7 @@ def bpe_blocks(spark, d):
     return packing.blocks(packing.offsets(e, ["h", "doc"]), SEQ_LEN, n_seq, column="ids")
 
 
-@query()
+@query("SELECT unnest(['merges_not_prefix', 'ids_differ', 'dropout', 'byte_fallback', 'pre_tokenizer', 'ignore_merges', 'byte_lengths_differ']) AS gate, CAST(0 AS BIGINT) AS violations")
 def nested_family(spark, d):
     """Gates of nesting and the byte-length table of the family: gate, violations (0 each)."""
     spec = tok.load_spec(BPE_FILE)
