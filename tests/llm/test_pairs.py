@@ -333,3 +333,34 @@ def test_blocks_of_a_round_fit_beside_an_executor():
     held, peak = (x / letters for x in tracemalloc.get_traced_memory())
     tracemalloc.stop()
     assert (held * overlap.ROUND + peak - held) * overlap.BLOCK < 600e6
+
+
+def test_unrelated_texts_of_common_words_are_hardly_aligned(monkeypatch):
+    """Long texts of the same few words go by their sections; what is near is found, be its edits spread or all in one section."""
+    from loomcorpus.llm import collinear
+
+    rng = random.Random(42)
+    words = ["".join(rng.choices("etaoinshrdlu", k=rng.randrange(2, 9))) for _ in range(120)]
+    val, train = (["".join(rng.choices(words, k=n)) for n in range(500, 700, 4)] for _ in range(2))
+    rnd = lambda n: "".join(rng.choices("etaoinshrdlu", k=n))
+    train += [train[0] + edited(rng, val[0], 0.15) + train[1], rnd(len(val[1]) // 6) + val[1][len(val[1]) // 6 :], val[2][:-600] + rnd(500), val[3][: len(val[3]) // 2] + rnd(900)]
+    columns, distances = [], collinear._distances
+
+    def counted(s, piece, other, a, z):
+        columns.append(int((z - a).sum()))
+        return distances(s, piece, other, a, z)
+
+    monkeypatch.setattr(collinear, "_distances", counted)
+    got = collinear.search(collinear.Block(val, 0.2), train)
+    most = [int(0.2 * len(v) + 1e-9) for v in val]
+    want = {(i, j, d) for i, v in enumerate(val) for j, t in enumerate(train) if (d := collinear.infix_distance(v, t, most[i])) <= most[i]}
+    assert set(got) == want and {(0, 50), (1, 51)} <= {(i, j) for i, j, _ in want}
+    assert sum(columns) < 100_000
+
+
+def test_search_where_all_chains_fall_away(monkeypatch):
+    from loomcorpus.llm import collinear
+
+    none = collinear.np.zeros(0, collinear.np.int64)
+    monkeypatch.setattr(collinear._Index, "candidates", lambda self, codes, lens: iter([(none,) * 4]))
+    assert collinear.search(collinear.Block(["abcdefgh" * 9], 0.2), ["abcdefgh" * 9]) == []
