@@ -364,3 +364,33 @@ def test_search_where_all_chains_fall_away(monkeypatch):
     none = collinear.np.zeros(0, collinear.np.int64)
     monkeypatch.setattr(collinear._Index, "candidates", lambda self, codes, lens: iter([(none,) * 4]))
     assert collinear.search(collinear.Block(["abcdefgh" * 9], 0.2), ["abcdefgh" * 9]) == []
+
+
+def test_grams_count_only_where_the_whole_text_has_room():
+    """Texts of the same few words give few candidates, for grams count on as many diagonals as there are edits and where all of the text fits."""
+    from loomcorpus.llm import collinear
+
+    rng = random.Random(43)
+    words = ["".join(rng.choices("etaoinshrdlu", k=rng.randrange(2, 9))) for _ in range(120)]
+    val, train = (["".join(rng.choices(words, k=n)) for n in range(60, 260, 2)] for _ in range(2))
+    train.sort(key=len)
+    block = collinear.Block(val, 0.2).prepare()
+    codes, lens = collinear.np.concatenate([collinear.code_points(t) for t in train]), collinear.np.array([len(t) for t in train])
+    assert sum(len(c[0]) for index in block.indexes for c in index.candidates(codes, lens)) < 20
+
+
+def test_near_at_the_ends_of_texts():
+    """All edits at one end, where the other text ends; in texts of more letters than the numbers for room hold, too."""
+    from loomcorpus.llm.collinear import Block, infix_distance, search
+
+    rng = random.Random(44)
+    rnd = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    for sizes, far in (((100, 511, 512, 1300, 2600), 300), ((700, 41000), 34000)):
+        val = [rnd(n) for n in sizes]
+        train = []
+        for v in val:
+            k = int(0.2 * len(v) + 1e-9)
+            train += [v[k:], v[k + 1 :], v[:-k], v[: -k - 1], v[k // 2 : k // 2 - k], v[k:] + rnd(far), rnd(far) + v[:-k], rnd(far) + v[: -k - 1], rnd(far) + spaced(v, 5, "7")]
+        most = [int(0.2 * len(v) + 1e-9) for v in val]
+        want = {(i, j, d) for i, v in enumerate(val) for j, t in enumerate(train) if (d := infix_distance(v, t, most[i])) <= most[i]}
+        assert set(search(Block(val, 0.2), train)) == want and len(want) >= 6 * len(val)
