@@ -20,6 +20,9 @@ MOST_BACK = 128
 #: Tokens beyond the budget that are looked at, so that the end of what is encoded has no influence.
 EDGE = 32
 
+#: Letters that are looked at for a span, as a multiple of those of the one before.
+AHEAD = 2
+
 
 def char_chunks(docs: DataFrame, doc: str, budget: int = 510, text: str = "text") -> DataFrame:
     """Chunks of ``budget`` code points: doc, chunk, cs, ce, utf8_bytes.  Null and empty texts give none."""
@@ -29,12 +32,12 @@ def char_chunks(docs: DataFrame, doc: str, budget: int = 510, text: str = "text"
     return got.select("doc", F.col("k").cast("bigint").alias("chunk"), (F.col("k") * budget).cast("bigint").alias("cs"), F.least((F.col("k") + 1) * budget, F.col("n")).cast("bigint").alias("ce"), F.octet_length("part").cast("bigint").alias("utf8_bytes"))
 
 
-def chunk_ends(text: str, ends: Callable[[str], list[int]], budget: int) -> list[tuple[int, int]]:
-    """Greedy spans: the first ``budget`` tokens of the rest, shortened token by token until the span alone encodes within the budget.
+def chunk_ends(text: str, ends: Callable[[str], list[int]], budget: int) -> list[tuple[int, int, int]]:
+    """Greedy spans with their tokens: the first ``budget`` tokens of the rest, shortened token by token until the span alone encodes within the budget.
 
     ``ends`` gives, for each token of a text, the code point where it ends.
     """
-    out, cs, guess = [], 0, budget * 6
+    out, cs, guess = [], 0, budget * 2
     while cs < len(text):
         rest = text[cs : cs + guess]
         marks = ends(rest)
@@ -43,19 +46,20 @@ def chunk_ends(text: str, ends: Callable[[str], list[int]], budget: int) -> list
             rest = text[cs : cs + guess]
             marks = ends(rest)
         if len(marks) <= budget and cs + len(rest) == len(text):
-            out.append((cs, len(text)))
+            out.append((cs, len(text), len(marks)))
             break
         k = min(budget, len(marks))
         for back in range(MOST_BACK + 1):
             ce = marks[k - 1 - back] if k - 1 - back >= 0 else 0
             if ce <= 0:
                 raise ValueError("a chunk does not advance")
-            if len(ends(rest[:ce])) <= budget:
+            if (tokens := len(ends(rest[:ce]))) <= budget:
                 break
         else:
             raise ValueError("no end within the budget")
-        out.append((cs, cs + ce))
+        out.append((cs, cs + ce, tokens))
         cs += ce
+        guess = ce * AHEAD  # as many letters for as many tokens, and some over
     return out
 
 
@@ -67,8 +71,8 @@ def token_chunks(docs: DataFrame, doc: str, ends: Callable[[str], list[int]], bu
         for b in batches:
             rows = []
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for k, (s, e) in enumerate(chunk_ends(t, ends, budget)):
-                    rows.append((i, k, s, e, len(t[s:e].encode("utf-8", "surrogatepass")), len(ends(t[s:e]))))
+                for k, (s, e, n) in enumerate(chunk_ends(t, ends, budget)):
+                    rows.append((i, k, s, e, len(t[s:e].encode("utf-8", "surrogatepass")), n))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], schema=schema)
 

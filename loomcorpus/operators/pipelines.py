@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from ..sources.readers import content_digest
 from . import chunks, quality, splits
 from .order import row_numbers
@@ -124,11 +125,12 @@ def common_chunks(docs: DataFrame, doc: str, ends: dict, budget: int, enforce: b
     """Spans of text that keep within ``budget`` tokens of every tokenizer of ``ends``, cut by the first of them.
 
     ``ends``: name -> function of a text that gives where each token ends.  ``chunks``: the spans, and tokens by tokenizer.
-    Gates: spans over the budget for each tokenizer; documents that the spans don't cover; nothing at all.
+    Gates: spans over the budget for each tokenizer; documents that the spans don't cover; nothing at all.  Texts are cut and counted
+    once, whatever reads the tables.
     """
     cutter = next(iter(ends.values()))
-    spans = chunks.token_chunks(docs, doc, cutter, budget)
-    counted = chunks.count_tokens(spans, docs, doc, ends)
+    spans = materialize(chunks.token_chunks(docs, doc, cutter, budget), "spans")
+    counted = materialize(chunks.count_tokens(spans, docs, doc, ends), "counted")
     cover = chunks.contiguity(spans.withColumnRenamed(doc, "doc") if doc != "doc" else spans, docs.filter(F.length("text") > 0), doc)
     gates = [quality.rows(counted, f"over_{name}", F.col(f"tokens_{name}") > budget) for name in ends]
     gates += [quality.rows(cover, "uncovered", ~F.col("covers")), _empty("empty", spans)]

@@ -186,6 +186,19 @@ def test_chunk_ends_back_off():
     assert spans[0][0] == 0 and spans[-1][1] == 7 and all(a[1] == b[0] for a, b in zip(spans, spans[1:], strict=False))
 
 
+def test_chunk_ends_reads_little_more_than_it_cuts():
+    read = []
+
+    def ends(t):  # a token for each letter
+        read.append(len(t))
+        return list(range(1, len(t) + 1))
+
+    text = "a" * 50_000
+    spans = chunks.chunk_ends(text, ends, 100)
+    assert [(s, e, n) for s, e, n in spans] == [(k, k + 100, 100) for k in range(0, len(text), 100)]
+    assert sum(read) <= 4 * len(text)  # was seven times the text
+
+
 def test_contiguity(spark):
     docs = texts(spark, ["abcdef", "abc", None, "xy"])
     rows = [(0, 0, 0, 4), (0, 1, 4, None), (0, 0, 0, 4), (1, 0, 0, 2), (1, 1, 3, 3), (9, 0, 0, 1)]

@@ -90,6 +90,25 @@ def test_common_chunks_and_scores(spark):
         chunks.score_spans(spans, docs, "doc", one, len, 6).collect()
 
 
+def test_common_chunks_are_cut_and_counted_once(spark, tmp_path):
+    docs = spark.createDataFrame([(k, f"{k:03}") for k in range(20)], "doc bigint, text string")
+
+    def noted(name):
+        def ends(t):
+            with open(tmp_path / name, "a") as f:
+                f.write(t + "\n")
+            return list(range(1, len(t) + 1))
+
+        return ends
+
+    p = pipelines.common_chunks(docs, "doc", {"one": noted("one"), "two": noted("two")}, 7)
+    for _ in range(2):
+        assert {r.gate: r.violations for r in p["gates"].collect()} == {"over_one": 0, "over_two": 0, "uncovered": 0, "empty": 0}
+        assert [(r.doc, r.tokens_one, r.tokens_two) for r in p["chunks"].orderBy("doc").collect()] == [(k, 3, 3) for k in range(20)]
+    seen = {name: sorted((tmp_path / name).read_text().split()) for name in ("one", "two")}
+    assert seen == {"one": sorted(2 * [f"{k:03}" for k in range(20)]), "two": [f"{k:03}" for k in range(20)]}
+
+
 def test_meta_of_chunks():
     good = {"out_sha256": "o", "val_sha256": "v", "budget": 510, "documents": 3, "chunks": 4, "residual_boundary_token_overhead": {}, "tokenizer_a_sha256": "a", "tokenizer_b_sha256": "b"}
     assert chunks.meta_problems(good, "o", "v", "b", 512) == []
