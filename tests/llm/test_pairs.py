@@ -5,7 +5,7 @@ from collections import defaultdict
 
 import pytest
 
-from loomcorpus.llm import copies, leaks, overlap, sketch, spans
+from loomcorpus.llm import collinear, copies, leaks, overlap, sketch, spans
 from loomcorpus.llm.text import fields, letters_digits
 
 WORDS = "river stone amber 河流 山谷 lantern 灯塔 quiet 算法 copper seven 数据 field 图书馆 winter bright 清晨 orbit 木匠 velvet".split()
@@ -379,6 +379,29 @@ def test_grams_count_only_where_the_whole_text_has_room():
     assert sum(len(c[0]) for index in block.indexes for c in index.candidates(codes, lens)) < 20
 
 
+def test_grams_looked_for_are_the_rarest_that_do_not_overlap():
+    rng = random.Random(31)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 9))) for _ in range(300)]
+    texts = ["".join(rng.choices(words, [1 / (k + 1) for k in range(300)], k=400))[: rng.randint(400, 1000)] for _ in range(60)]
+    block = collinear.Block(texts, 0.2).prepare()
+    (index,) = block.indexes
+    counted = defaultdict(int)
+    for t in texts:
+        for h in collinear._hashes(collinear.code_points(t), 4).tolist():
+            counted[h] += 1
+    hits = own_hits = 0
+    for k, (i, a, n) in enumerate(zip(block.text.tolist(), block.begin.tolist(), block.letters.tolist(), strict=True)):
+        part = block.texts[i][a : a + n]
+        all_of = collinear._hashes(collinear.code_points(part), 4)
+        kept = sorted((index._base(slice(None))[index.own == index.which.tolist().index(k)]).tolist(), reverse=True)
+        kept = [n - b for b in kept]  # where they begin
+        assert all(y - x >= 4 for x, y in zip(kept, kept[1:], strict=False)) and kept[-1] <= n - 4
+        assert len(kept) - block.edits[k] == index.need[index.which.tolist().index(k)] >= 2
+        own_hits += sum(counted[int(all_of[x])] for x in kept)
+        hits += sum(sorted(counted[int(h)] for h in all_of[::4])[: len(kept)])  # of as many side by side
+    assert own_hits < 0.75 * hits
+
+
 def test_near_at_the_ends_of_texts():
     """All edits at one end, where the other text ends; in texts of more letters than the numbers for room hold, too."""
     from loomcorpus.llm.collinear import Block, infix_distance, search
